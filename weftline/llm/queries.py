@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, pii, quality, sharding
+from . import html, langid, licenses, mixing, neardup, packing, pii, quality, sharding, vectors
 from .store import table
 
 
@@ -27,10 +27,23 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *stats, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
+def op4_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+def op5_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, langid.learn(docs))
+
+
 def op6_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=4096)
 
 
+def op7_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("th")
 
@@ -39,8 +52,16 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a source is a repository, with directories of 64 and of 8 documents that follow one another."""
+    docs = table(spark, sf_dir, "documents")
+    of = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), of(64 * 20), of(8 * 20), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), "doc_id", "path", "text").withColumnRenamed("file_id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lpt_shards, op2_pii_crf, op3_decision_list, op6_swap_packing, op8_chosen_path, op9_source_mix)
+    own = (op1_lpt_shards, op2_pii_crf, op3_decision_list, op4_pruned_graph, op5_byte_gru, op6_swap_packing, op7_text_density, op8_chosen_path, op9_source_mix, op10_license_scan)
     return {f.__name__: f for f in own}
 
 
