@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import bisect
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,58 +16,123 @@ from pyspark.sql import functions as F
 
 from .groups import whole_groups
 from .store import stash
+from .textvec import Words, slices, utf8
 
 #: The tokenizer's file, for public_tokenizers.path().
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Pieces that are packed together, about; a group leaves one sequence underfull, or none.
 GROUP = 20_000
-#: Distinct words whose ids a task keeps; when there are more, it starts anew.
-CACHE = 400_000
+#: Words, and parts of words, whose ids a worker keeps; when there are more, it starts anew.
+WORDS, PARTS = 2_000_000, 500_000
 #: The local search tries that many of the emptiest sequences against that many of the fullest that have room.
 GIVERS, TAKERS = 256, 64
 
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, 9, 10]] = True
+_LETTERS_FIRST = re.compile(r"([^\W\d_]+)([^\s\w']*)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(path: str | None, capacity: int):
-    """A mapInArrow function from (doc_id, text) to the pieces of each document.
+class Encoder:
+    """Token ids of whole texts, word by word.
 
     Words between spaces, tabs and line feeds are encoded on their own, which gives the ids of the whole text: the
     tokenizer's pattern never joins across white space, its normalisation does not compose across it, and it drops it.
-    Each distinct word is encoded once while the cache lasts.
+    Letters, in lower case, and the signs after them are encoded apart where a word has no other parts: the pattern ends
+    a token between them (not at an apostrophe), and a word in composed form is composed in its parts. Words are looked up by
+    64 bits of their bytes.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str | None):
+        import os
+
         import public_tokenizers
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-        known: dict[str, bytes] = {}
-
-        def ids_of(text: str) -> bytes:
-            words = text.replace("\n", " ").replace("\t", " ").split(" ")
-            try:
-                return b"".join([known[w] for w in words])
-            except KeyError:
-                pass
-            if len(known) > CACHE:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([known[w] for w in words])
-
-        end = np.array([END_ID], "<u4").tobytes()
+        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
+        self.parts: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        """No words: their sorted hashes with their rows, and each row's place in the ids of all rows, end to end."""
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.length, self.ids = (np.zeros(0, k) for k in (np.int64, np.int64, np.uint32))
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        parts, split, whole = self.parts, [], []
+        for w in words:
+            m = _LETTERS_FIRST.fullmatch(w)
+            if m and (w.isascii() or "\u03a3" not in w and "\u0130" not in w and unicodedata.is_normalized("NFC", w)):
+                split.append((m[1].lower(), m[2]))
+            else:
+                split.append((w, ""))
+                whole.append(w)
+        if len(parts) > PARTS:
+            parts.clear()
+        fresh = list({x for own in split for x in own}.difference(parts))
+        parts.update(zip(fresh, self._encode(fresh), strict=True))
+        new = [parts[a] + parts[b] for a, b in split]
+        for w in whole:  # may be long
+            parts.pop(w, None)
+        length = np.array([len(x) // 4 for x in new], np.int64)
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(length) - length))
+        self.length = np.concatenate((self.length, length))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(new), np.uint32)))
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, end to end, and where each text's begin and end."""
+        w = Words(data, offsets, _GAP)
+        if len(self.keys) > WORDS:
+            self._clear()
+        unique, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, unique)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != unique) if len(self.keys) else np.arange(len(unique))
+        if len(new):
+            raw, own = w.bytes.tobytes(), first[new]
+            known = len(self.start)
+            self._learn([raw[a:b].decode() for a, b in zip(w.start[own].tolist(), w.end[own].tolist(), strict=True)])
+            self.keys = np.insert(self.keys, at[new], unique[new])
+            self.rows = np.insert(self.rows, at[new], np.arange(known, known + len(new)))
+            at = np.searchsorted(self.keys, unique)
+        rows = self.rows[at][inverse]
+        length = self.length[rows]
+        ends = np.concatenate(([0], np.cumsum(length)))
+        flat = self.ids[np.repeat(self.start[rows] - ends[:-1], length) + np.arange(ends[-1])]
+        return flat, ends[w.first_word]
+
+
+_encoders: dict[str | None, Encoder] = {}
+
+
+def pieces(path: str | None, capacity: int):
+    """A mapInArrow function from (doc_id, text) to the pieces of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from weftline.llm import packing
+
+        if path not in packing._encoders:  # a worker keeps it from task to task
+            packing._encoders[path] = packing.Encoder(path)
+        encode = packing._encoders[path]
+        end = array("I", [END_ID]).tobytes()
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for b in batches:
-            out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = ids_of(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            data, offsets = utf8(b.column(1))
+            for lo, hi in slices(offsets):
+                c = b.slice(lo, hi - lo)
+                out: list[tuple] = []
+                flat, bounds = encode(data, offsets[lo : hi + 1])
+                for doc, a, z in zip(c.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    ids = flat[a:z].tobytes() + end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
