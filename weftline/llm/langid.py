@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import lean
+
 #: Documents of each language that the network learns from, about, and words of each, drawn from its whole text.
 PER_LANG, WORDS = 400, 80
 HIDDEN, STEPS, BATCH, RATE = 24, 1500, 192, 6e-3
@@ -211,5 +213,5 @@ def identify(docs: DataFrame, net: Gru | None, id_col: str = "doc_id", text_col:
                     scores.append(float(p.max() / p.sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stash
+from .store import lean, stash
 from .textvec import LOWER, Words, slices, utf8
 
 #: Wordings of licence notices, by SPDX identifier.
@@ -166,7 +166,7 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, least: flo
     ignored. An empty table gives an empty one. Directories are joined once each, however many files they have.
     """
     vocab = vocabulary()
-    rows = files.select(F.col(id_col).cast("long").alias("file_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+    rows = lean(files).select(F.col(id_col).cast("long").alias("file_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     idf, other = idf_weights(rows.select("text"), vocab)
     found = rows.mapInArrow(_cosines(vocab, idf, other, least), "file_id long, path string, license string, cosine double, line_no long, first_line boolean, part double")
     found = stash(found.withColumn("dir", _parent(F.col("path"))), "licences")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components, find, roots, union
 from .groups import whole_groups
-from .store import stash
+from .store import lean, stash
 from .textvec import LOWER, Words, shingles, slices, utf8
 
 TREES = 10
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Classes go by 64 bits of their set. Nothing but counts of large nodes and groups being there reaches the driver.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    text = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     rows = text.mapInArrow(_describe(width), f"doc_id long, {_RAW}")
     rows = stash(rows, "sets")
     # Equal sets are one class; its first row by (th, doc_id) stands for it.

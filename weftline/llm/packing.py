@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .groups import whole_groups
-from .store import stash
+from .store import lean, stash
 from .textvec import Words, slices, utf8
 
 #: The tokenizer's file, for public_tokenizers.path().
@@ -24,7 +24,7 @@ END_ID = 1
 #: Pieces that are packed together, about; a group leaves one sequence underfull, or none.
 GROUP = 20_000
 #: Words, and parts of words, whose ids a worker keeps; when there are more, it starts anew.
-WORDS, PARTS = 2_000_000, 500_000
+WORDS, PARTS = 1_000_000, 100_000
 #: The local search tries that many of the emptiest sequences against that many of the fullest that have room.
 GIVERS, TAKERS = 256, 64
 
@@ -245,7 +245,7 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None
     Pieces are dealt by a hash of their place in the written table into groups of about GROUP, so that repeated rows
     spread and a group is bounded; each group is packed by itself.
     """
-    p = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces(tokenizer, capacity), PIECES)
+    p = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces(tokenizer, capacity), PIECES)
     p = stash(p, "pieces")
     groups = max(1, -(-p.count() // GROUP))
     p = p.withColumn("tie", F.monotonically_increasing_id()).withColumn("grp", F.pmod(F.xxhash64("tie"), F.lit(groups)).cast("long"))

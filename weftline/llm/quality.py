@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import lean
 from .textvec import Words, mix, slices, utf8
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_upper", "n_digits", "n_marks", "n_pipes", "n_open"]
@@ -203,7 +204,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names but those four. An empty table gives an empty one.
     """
     rules = learn_rules(docs, labels, id_col, text_col, sample)
-    own = docs.select("*").mapInArrow(_with_stats(text_col), _schema(docs))
+    own = lean(docs).select("*").mapInArrow(_with_stats(text_col), _schema(docs))
     own = own.withColumn("_base_failed", base_failed()).withColumn("_rule", decide(rules))
     return own.withColumn("_kept", ~F.col("_base_failed") & (F.col("_rule") == 0))
 

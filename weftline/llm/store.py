@@ -32,6 +32,19 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch that Python gets, at most.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches made no larger than ARROW: texts may be long, and a task holds a batch on both sides."""
+    conf = df.sparkSession.conf
+    for key, most in ARROW.items():
+        if conf.isModifiable(key) and not 0 < int(conf.get(key).rstrip("b")) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .groups import whole_groups
-from .store import stash
+from .store import lean, stash
 
 #: Classes of a shard before overlap, about; rows that centroids are fitted on at most; centroids at most.
 SHARD, SAMPLE, CENTROIDS = 512, 16_384, 2048
@@ -301,7 +301,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
 
     The driver sees at most SAMPLE vectors of each length, from which the centroids are fitted, and the audit's sample.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    rows = lean(vectors).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     rows = stash(rows.mapInArrow(_prepare, "vec_id long, cls long, dim int, vec binary"), "vectors")
     classes = rows.where("cls is not null").groupBy("cls", "dim").agg(F.count("*").alias("n"), F.min("vec_id").alias("least_id"), F.first("vec").alias("vec"))
     classes = stash(classes.select("cls", F.col("dim").cast("long").alias("dim"), "n", "vec", "least_id"), "vector-classes")
