@@ -2,10 +2,183 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftline.functions import values as V
+from weftline.operators import allowlist, entries
+from weftline.sources.lines import explode_lines
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explode_lines(_t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def line_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = entries.token_lines(_doc_lines(spark, sf_dir))
+    return tokens.groupBy(F.col("path").alias("doc_id")).agg(F.count("*").alias("n_entries"), F.sum(F.char_length("token")).alias("n_token_chars"))
+
+
+def typed_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    raw = F.get_json_object("props", "$.k")
+    pair = F.concat(F.lit("k="), raw)
+    value = V.number_value(F.regexp_replace(pair, "^[^=]*=", ""))
+    return e.select("event_id", F.substring_index(pair, "=", 1).alias("key"), value["i"].cast("long").alias("value"))
+
+
+def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("key"), F.struct("ts", "event_id").alias("seq"), "value")
+    out = entries.last_wins(e, ("user_id",))
+    return out.select("user_id", F.col("key").alias("event_type"), F.col("seq.event_id").alias("first_id"), F.col("value").alias("last_value"))
+
+
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _t(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("key"), F.expr("c_custkey % 5").alias("old"))
+    new = _t(spark, sf_dir, "orders").where("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("key")).agg(F.max(F.expr("o_custkey % 10")).alias("new"))
+    both = base.join(new, "key", "full_outer")
+    action = F.when(F.col("new").isNull(), "keep").when(F.col("old").isNull(), "insert").when(F.col("old") == F.col("new"), "noop").otherwise("update")
+    return both.select("key", action.alias("action"), F.coalesce("new", "old").alias("value"))
+
+
+def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"), F.sum(F.col("action").isin("insert", "update").cast("int")).alias("updated"))
+
+
+def section_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    header = F.when(F.col("role") == "user", F.col("turn"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.last(header, ignorenulls=True).over(w), F.lit(-1)).alias("section"))
+
+
+def block_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place at which the depth of braces first returns to 0, a fold over the page's braces within its row."""
+    braces = F.regexp_replace("html", "[^{}]", "")
+    marks = F.filter(F.transform(F.split(F.regexp_replace("html", "[^{}]", " "), ""), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("at"))), lambda x: x["c"].isin("{", "}"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("at"))
+    step = lambda a, x: F.struct((a["depth"] + F.when(x["c"] == "{", 1).otherwise(-1)).alias("depth"), F.coalesce(a["at"], F.when(a["depth"] + F.when(x["c"] == "{", 1).otherwise(-1) == 0, x["at"])).alias("at"))
+    folded = F.aggregate(marks, start, step)
+    return _t(spark, sf_dir, "pages").select("page_id", F.char_length(braces).cast("long").alias("n_braces"), folded["at"].cast("long").alias("end_at"))
+
+
+def joined_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array_join(F.sort_array(F.collect_set("n_name")), "-")
+    return _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(names.alias("stem"))
+
+
+def ordered_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    up = _doc_lines(spark, sf_dir).select(F.col("path").alias("doc_id"), "line_no", F.upper("line").alias("token")).where(F.col("token").rlike("^[A-Z]"))
+    at = F.min(F.struct("doc_id", "line_no"))
+    return up.groupBy("token").agg(at.alias("at")).select("token", "at.doc_id", F.col("at.line_no").cast("long").alias("line_no"))
+
+
+def single_or_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.when(F.count("*") == 1, F.min("s_name")).alias("only_name"), F.count("*").alias("n"))
+
+
+def priority_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.coalesce(F.min(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber"))), F.min(F.when(F.col("l_linestatus") == "O", F.col("l_linenumber"))), F.lit(-1)).alias("line_number")
+    )
+    return line.select("l_orderkey", "line_number")
+
+
+def merge_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "part")
+    old = p.groupBy(F.col("p_brand").alias("section"), F.col("p_size").cast("string").alias("key")).agg(F.min("p_partkey").alias("key_ord"), F.max("p_partkey").cast("string").alias("old"))
+    required = p.select(F.col("p_brand").alias("section")).distinct().select("section", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(i).alias("req_ord"), F.lit(v).alias("new")) for i, (k, v) in enumerate([("first", "a"), ("1", "b"), ("50", "c")])])).alias("x")).select("section", "x.*")
+    both = old.join(required, ["section", "key"], "full_outer")
+    order = Window.partitionBy("section").orderBy(F.coalesce(F.col("req_ord") - 1_000_000, F.col("key_ord")))
+    return both.select("section", "key", F.coalesce("new", "old").alias("value"), F.row_number().over(order).alias("rank"))
+
+
+def run_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("line_no"), F.col("event_type").alias("line"), "event_id")
+    starts = e.where("line = 'error'").groupBy("path").agg(F.min("line_no").alias("start"))
+    runs = allowlist.run_after(e, starts, F.col("line") == "error", one_blank=False)
+    return e.join(runs, "path", "left").where("start is null or line_no < start or line_no >= end").select(F.col("path").alias("user_id"), "event_id")
+
+
+def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").groupBy("source").agg(F.min(F.when(F.expr("doc_id % 97 = 0"), F.col("doc_id"))).alias("at"))
+    return d.select("source", F.coalesce("at", F.lit(-1)).alias("marker"), F.col("at").isNull().alias("inserted"))
+
+
+def reference_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace(host, "^m\\.", "").alias("host"), (F.instr("url", "?") > 0).alias("has_query"), F.concat_ws("/", host, F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]+)", 1)).alias("reference"))
+
+
+def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+    return d.select("doc_id", F.coalesce(V.trim_or(F.when(F.col("quality") == 1, F.col("lang")), V.trim_or(F.col("source"), F.lit("none")))).alias("chosen"))
+
+
+def value_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals of several kinds, inferred and rendered again."""
+    o = _t(spark, sf_dir, "orders").withColumn("kind", F.expr("o_orderkey % 4"))
+    raw = F.when(F.col("kind") == 0, F.col("o_orderkey").cast("string")).when(F.col("kind") == 1, F.lit("TRUE")).when(F.col("kind") == 2, F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))).otherwise(F.col("o_orderstatus"))
+    v = V.inferred_value(raw)
+    return o.select("o_orderkey", v["tag"].alias("tag"), V.render_value(v).alias("literal"))
+
+
+_QUERIES = [line_parse, typed_kv, last_wins, upsert, upsert_counts, section_fill, block_end, joined_names, ordered_difference, keep_first, single_or_null, priority_pick, merge_sections, run_removal, insert_if_absent, reference_split, fallback_chain, value_inference]
+
+_LINES = r"""lines AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM (
+    SELECT doc_id, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM (
+      SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]') AS ls FROM documents WHERE text IS NOT NULL)))"""
+
+_UPSERT = """SELECT key, CASE WHEN new IS NULL THEN 'keep' WHEN old IS NULL THEN 'insert' WHEN old = new THEN 'noop' ELSE 'update' END AS action, coalesce(new, old) AS value
+FROM (SELECT c_custkey AS key, c_custkey % 5 AS old FROM customer WHERE c_custkey % 4 <> 0)
+FULL JOIN (SELECT o_custkey AS key, max(o_custkey % 10) AS new FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1) USING (key)"""
+
+_SQL = {
+    "line_parse": f"""WITH {_LINES}, tokens AS (SELECT doc_id, trim(regexp_replace(line, '\\s+(#.*)?$', '')) AS token FROM lines WHERE trim(line) <> '' AND NOT regexp_matches(line, '^\\s*#'))
+SELECT doc_id, count(*) AS n_entries, sum(length(token))::BIGINT AS n_token_chars FROM tokens WHERE token <> '' GROUP BY 1""",
+    "typed_kv": "SELECT event_id, 'k' AS key, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS value FROM events",
+    "last_wins": "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first_id, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY 1, 2",
+    "upsert": _UPSERT,
+    "upsert_counts": f"SELECT action, count(*) AS n, sum((action IN ('insert', 'update'))::INT)::BIGINT AS updated FROM ({_UPSERT}) GROUP BY 1",
+    "section_fill": "SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS section FROM conversations",
+    "block_end": """WITH c AS (SELECT page_id, unnest(string_split(html, '')) AS c, unnest(range(1, length(html) + 1)) AS pos FROM pages),
+m AS (SELECT page_id, pos, sum(CASE c WHEN '{' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth FROM c WHERE c IN ('{', '}'))
+SELECT page_id, count(pos) AS n_braces, min(CASE WHEN depth = 0 THEN pos END) AS end_at FROM pages LEFT JOIN m USING (page_id) GROUP BY 1""",
+    "joined_names": "SELECT n_regionkey, string_agg(DISTINCT n_name, '-' ORDER BY n_name) AS stem FROM nation GROUP BY 1",
+    "ordered_difference": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "keep_first": f"""WITH {_LINES}, up AS (SELECT doc_id, line_no, upper(replace(line, 'ß', 'SS')) AS token FROM lines)
+SELECT token, (min((doc_id, line_no)))[1] AS doc_id, (min((doc_id, line_no)))[2] AS line_no FROM up WHERE regexp_matches(token, '^[A-Z]') GROUP BY 1""",
+    "single_or_null": "SELECT s_nationkey, CASE WHEN count(*) = 1 THEN min(s_name) END AS only_name, count(*) AS n FROM supplier GROUP BY 1",
+    "priority_pick": "SELECT l_orderkey, coalesce(min(CASE WHEN l_returnflag = 'R' THEN l_linenumber END), min(CASE WHEN l_linestatus = 'O' THEN l_linenumber END), -1) AS line_number FROM lineitem GROUP BY 1",
+    "merge_sections": """WITH old AS (SELECT p_brand AS section, p_size::VARCHAR AS key, min(p_partkey) AS key_ord, max(p_partkey)::VARCHAR AS old FROM part GROUP BY 1, 2),
+req AS (SELECT DISTINCT p_brand AS section, r.key, r.req_ord, r.new FROM part, (VALUES ('first', 0, 'a'), ('1', 1, 'b'), ('50', 2, 'c')) r(key, req_ord, new))
+SELECT section, key, coalesce(new, old) AS value, row_number() OVER (PARTITION BY section ORDER BY coalesce(req_ord - 1000000, key_ord))::INT AS rank FROM old FULL JOIN req USING (section, key)""",
+    "run_removal": """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT user_id, min(n) AS start FROM e WHERE event_type = 'error' GROUP BY 1),
+t AS (SELECT user_id, start, coalesce(min(CASE WHEN event_type <> 'error' THEN n END), 1000000000) AS stop FROM e JOIN s USING (user_id) WHERE n > start GROUP BY 1, 2)
+SELECT e.user_id, event_id FROM e LEFT JOIN s USING (user_id) LEFT JOIN t USING (user_id) WHERE s.start IS NULL OR n < s.start OR n >= coalesce(t.stop, s.start + 1)""",
+    "insert_if_absent": "SELECT source, coalesce(min(CASE WHEN doc_id % 97 = 0 THEN doc_id END), -1) AS marker, min(CASE WHEN doc_id % 97 = 0 THEN doc_id END) IS NULL AS inserted FROM documents GROUP BY 1",
+    "reference_split": """SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/]+)', 1), '^m\\.', '') AS host, contains(url, '?') AS has_query,
+regexp_extract(url, '^[a-z]+://([^/]+)', 1) || '/' || regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)', 1) AS reference FROM pages""",
+    "fallback_chain": "SELECT doc_id, coalesce(nullif(trim(CASE WHEN quality = 1 THEN lang END), ''), nullif(trim(source), ''), 'none') AS chosen FROM documents LEFT JOIN labels USING (doc_id)",
+    "value_inference": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'bool' ELSE 'str' END AS tag,
+CASE o_orderkey % 4 WHEN 0 THEN o_orderkey::VARCHAR WHEN 1 THEN 'true' WHEN 2 THEN '"' || o_orderpriority || '"' ELSE '"' || o_orderstatus || '"' END AS literal FROM orders""",
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
