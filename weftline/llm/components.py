@@ -56,7 +56,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing changes. Each step moves a row for
     each edge, and there are never more edges than at the start; the smallest neighbour is pre-aggregated before it
-    is shuffled, and the join back on it is one that adaptive execution splits. No part of the graph reaches the driver.
+    is shuffled and is written, so that the join back is one of two plain tables, which adaptive execution splits at a hot node. No part of the graph reaches the driver.
     """
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
@@ -65,10 +65,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: every larger neighbour of a node goes to the smallest of the node and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: a node and its smaller neighbours go to the smallest of them.
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = stash(e, "edges")
+        least = stash(e.groupBy("u").agg(F.min("v").alias("m")), "least")
         e = e.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         e = stash(e, "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
