@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import lean
+from .store import held, lean
 
 #: Documents of each language that the network learns from, about, and words of each, drawn from its whole text.
 PER_LANG, WORDS = 400, 80
@@ -164,13 +164,10 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Gru | None:
     return train(words, langs)
 
 
-_cache: dict = {}
-
-
-def _scores(net: Gru, key: int, lists: list[list[bytes]]) -> list[np.ndarray]:
+def _scores(net: Gru, _cache: dict, lists: list[list[bytes]]) -> list[np.ndarray]:
     """For each list of words the sum of their scores; each distinct word runs through the network once while it is kept."""
-    if _cache.get("key") != key or len(_cache["index"]) > CACHE or _cache["bytes"] > CACHE_BYTES:
-        _cache.update(key=key, index={}, rows=np.zeros((0, len(net.langs) + 1), np.float32), bytes=0)
+    if not _cache or len(_cache["index"]) > CACHE or _cache["bytes"] > CACHE_BYTES:
+        _cache.update(index={}, rows=np.zeros((0, len(net.langs) + 1), np.float32), bytes=0)
     index = _cache["index"]
     new = list({w for ws in lists for w in ws if w not in index})
     if new:
@@ -193,16 +190,15 @@ def identify(docs: DataFrame, net: Gru | None, id_col: str = "doc_id", text_col:
     key = int(sum(float(np.abs(v).sum()) for v in params.values()) * 1e6) if net else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from weftline.llm import langid
-
         own = Gru.__new__(Gru)
         own.langs, own.p = langs, params
+        cache = held(f"network {key}", dict)
         for b in batches:
             preds: list[str] = []
             scores: list[float] = []
             for lo in range(0, b.num_rows, 128):
                 texts = [t if t is not None and langs and _LETTER.search(t) else None for t in b.column(1).slice(lo, 128).to_pylist()]
-                for text, s in zip(texts, langid._scores(own, key, [words_of(t) if t else [] for t in texts]), strict=True):
+                for text, s in zip(texts, _scores(own, cache, [words_of(t) if t else [] for t in texts]), strict=True):
                     if text is None:
                         preds.append(UNKNOWN)
                         scores.append(0.0)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components, find, roots, union
 from .groups import whole_groups
-from .store import lean, stash
+from .store import held, lean, stash
 from .textvec import LOWER, Words, shingles, slices, utf8
 
 TREES = 10
@@ -73,6 +73,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
 
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("", dict)
         for b, sets in _sets(batches, width):
             best = [_minima(x) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays(

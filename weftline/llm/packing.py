@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .groups import whole_groups
-from .store import lean, stash
+from .store import held, lean, stash
 from .textvec import Words, slices, utf8
 
 #: The tokenizer's file, for public_tokenizers.path().
@@ -107,18 +107,11 @@ class Encoder:
         return flat, ends[w.first_word]
 
 
-_encoders: dict[str | None, Encoder] = {}
-
-
 def pieces(path: str | None, capacity: int):
     """A mapInArrow function from (doc_id, text) to the pieces of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from weftline.llm import packing
-
-        if path not in packing._encoders:  # a worker keeps it from task to task
-            packing._encoders[path] = packing.Encoder(path)
-        encode = packing._encoders[path]
+        encode = held(f"encoder {path}", lambda: Encoder(path))
         end = array("I", [END_ID]).tobytes()
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for b in batches:

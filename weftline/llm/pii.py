@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import lean
+from .store import held, lean
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -356,6 +356,7 @@ def scan(docs: DataFrame, text_col: str = "text", with_text: bool = True) -> Dat
     names, weights, moves = crf.names, crf.weights, crf.moves
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("", dict)
         own = Crf(names, weights, moves)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import lean
+from .store import held, lean
 from .textvec import Words, mix, slices, utf8
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_upper", "n_digits", "n_marks", "n_pipes", "n_open"]
@@ -69,6 +69,7 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _with_stats(text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("", dict)
         for batch in batches:
             data, offsets = utf8(batch.column(batch.schema.get_field_index(text_col)))
             parts = [text_stats(data, offsets[lo : hi + 1]) for lo, hi in slices(offsets)]

@@ -45,6 +45,20 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+_held: dict = {}
+
+
+def held(name: str, make):  # noqa: ANN001, ANN201
+    """In a Python worker: what ``make`` gave for this name before, or gives now. One thing is held at a time.
+
+    Workers go from task to task; an operator's tasks that begin with held("", ...) free what another one's left there.
+    """
+    if _held.get("name") != name:
+        _held.clear()
+        _held.update(name=name, value=make())
+    return _held["value"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
