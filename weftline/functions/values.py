@@ -28,48 +28,49 @@ def _value(tag: str, **fields: Column) -> Column:
     return F.struct(F.lit(tag).alias("tag"), *[fields.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()])
 
 
-def boolean_value(c: Column) -> Column:
+def boolean_value(c: Column, trimmed: bool = False) -> Column:
     """true and false in any case; null for anything else."""
-    low = F.lower(strip(c))
+    low = F.lower(c if trimmed else strip(c))
     return F.when(low.isin("true", "false"), _value("bool", b=low == "true"))
 
 
 
 
-def string_text(c: Column) -> Column:
+def string_text(c: Column, trimmed: bool = False) -> Column:
     """A string's text: decoded if it is a JSON string, without outer quotes if only quoted, else as it is."""
-    v = strip(c)
+    v = c if trimmed else strip(c)
     quoted = (F.char_length(v) >= 2) & v.startswith('"') & v.endswith('"')
     plain = F.when(v.contains("\\"), F.try_parse_json(v).cast("string")).otherwise(F.substring(v, F.lit(2), F.char_length(v) - 2))
     return F.when(quoted & v.rlike(_JSON), plain).when(quoted, F.regexp_replace(v, '^"+|"+$', "")).otherwise(v)
 
 
-def string_value(c: Column) -> Column:
-    return F.when(c.isNotNull(), _value("str", s=string_text(c)))
+def string_value(c: Column, trimmed: bool = False) -> Column:
+    return F.when(c.isNotNull(), _value("str", s=string_text(c, trimmed)))
 
 
-def int_value(c: Column) -> Column:
-    v = F.regexp_replace(strip(c), "_", "")
+def int_value(c: Column, trimmed: bool = False) -> Column:
+    own = c if trimmed else strip(c)
+    v = F.replace(own, F.lit("_"), F.lit(""))
     number = v.try_cast("decimal(38,0)")
-    return F.when(strip(c).rlike(_INT), F.when(number.isNotNull(), _value("int", i=number)).otherwise(_value("wide", s=v)))
+    return F.when(own.rlike(_INT), F.when(number.isNotNull(), _value("int", i=number)).otherwise(_value("wide", s=v)))
 
 
-def float_value(c: Column) -> Column:
-    v = F.lower(strip(c))
+def float_value(c: Column, trimmed: bool = False) -> Column:
+    v = F.lower(c if trimmed else strip(c))
     named = F.when(v.contains("nan"), F.lit(float("nan"))).when(v.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.when(v.rlike(_NAMED), _value("float", n=named)).when(v.rlike(_FLOAT), _value("float", n=F.regexp_replace(v, "_", "").try_cast("double")))
+    return F.when(v.rlike(_NAMED), _value("float", n=named)).when(v.rlike(_FLOAT), _value("float", n=F.replace(v, F.lit("_"), F.lit("")).try_cast("double")))
 
 
-def number_value(c: Column) -> Column:
+def number_value(c: Column, trimmed: bool = False) -> Column:
     """An integer, else a float, else null."""
-    return F.coalesce(int_value(c), float_value(c))
+    return F.coalesce(int_value(c, trimmed), float_value(c, trimmed))
 
 
 def inferred_value(c: Column) -> Column:
     """The value of an existing literal: boolean, quoted string, integer, float, or else the text itself."""
     v = strip(c)
-    quoted = F.when((F.char_length(v) >= 2) & v.startswith('"') & v.endswith('"'), string_value(v))
-    return F.coalesce(boolean_value(v), quoted, int_value(v), float_value(v), _value("str", s=v))
+    quoted = F.when((F.char_length(v) >= 2) & v.startswith('"') & v.endswith('"'), string_value(v, True))
+    return F.coalesce(boolean_value(v, True), quoted, int_value(v, True), float_value(v, True), _value("str", s=v))
 
 
 def _number(v: Column) -> Column:

@@ -24,13 +24,13 @@ def check_mode(mode: str) -> str:
 
 def strip_comment(line: Column) -> Column:
     """Without white space at the end and a # comment after it; # within a word stays."""
-    return strip(F.regexp_replace(line, f"{SPACE}+(#.*)?$", ""))
+    return strip(F.when(F.instr(line, "#") > 0, F.regexp_replace(line, f"{SPACE}+(#.*)?$", "")).otherwise(line))
 
 
 def token_lines(lines: DataFrame) -> DataFrame:
     """``lines`` with the column token; blank lines and lines that begin with # fall away."""
-    content = lines.where(F.col("line").rlike(f"(?s)^(?!{SPACE}*#).*(?!{SPACE}).")).withColumn("token", strip_comment(F.col("line")))
-    return content.where((F.col("token") != "") & (strip(F.col("line")) != ""))
+    content = lines.where(F.col("line").rlike(f"^{SPACE}*+[^#]"))
+    return content.withColumn("token", strip_comment(F.col("line"))).where(F.col("token") != "")
 
 
 def parse_entries(lines: DataFrame, mode: str | Column = "true") -> DataFrame:
@@ -47,9 +47,9 @@ def parse_entries(lines: DataFrame, mode: str | Column = "true") -> DataFrame:
     raw = strip(F.regexp_replace(token, "^[^=]*=", ""))
     value = (
         F.when(F.col("_mode") == "true", F.from_json(F.lit('{"tag":"bool","b":true}'), V.VALUE))
-        .when(F.col("_mode") == "=", V.string_value(raw))
-        .when(F.col("_mode") == "=b", V.boolean_value(raw))
-        .when(F.col("_mode") == "=n", V.number_value(raw))
+        .when(F.col("_mode") == "=", V.string_value(raw, True))
+        .when(F.col("_mode") == "=b", V.boolean_value(raw, True))
+        .when(F.col("_mode") == "=n", V.number_value(raw, True))
     )
     typed = F.col("_mode") != "true"
     error = (

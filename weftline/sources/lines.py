@@ -12,22 +12,27 @@ SPACE = "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\
 
 def strip(c: Column) -> Column:
     """Without the Unicode white space at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    ends = F.left(c, F.lit(1)).rlike(SPACE) | F.right(c, F.lit(1)).rlike(SPACE)
+    return F.when(ends, F.regexp_replace(c, f"^{SPACE}++|{SPACE}++$", "")).otherwise(c)
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+$", "")
+    return F.regexp_replace(c, f"{SPACE}++$", "")
 
 
 def split_lines(text: Column) -> Column:
     """The lines of a text, without their ends; a final line end opens no further line, and an empty text has none."""
-    parts = F.split(text, LINE_END, -1)
+    return _without_last(F.split(text, LINE_END, -1))
+
+
+def _without_last(parts: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def explode_lines(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """(path, line_no, line) of whole texts; null and empty texts have no lines."""
-    return files.where(F.col(text_col).isNotNull()).select(F.col(path_col).alias("path"), F.posexplode(split_lines(F.col(text_col))).alias("line_no", "line"))
+    parts = files.where(F.col(text_col).isNotNull()).select(F.col(path_col).alias("path"), F.split(F.col(text_col), LINE_END, -1).alias("_parts"))
+    return parts.select("path", F.posexplode(_without_last(F.col("_parts"))).alias("line_no", "line"))
 
 
 def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
