@@ -290,7 +290,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         fine = components(links.unionByName(stash(more, "links")))
 
     named = classes.select("cid", "least_id").join(fine.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    # Written, so that the join is one of two plain tables and a large component's side is split.
+    named = stash(named, "named")
+    least = stash(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "least")
     named = named.join(least, "label").select("cid", "component_id")
     out = rows.select("doc_id", "n_shingles", "cid", "th").join(named, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
