@@ -73,7 +73,8 @@ def test_inference_equality_rendering(spark):
     assert got["123456789012345678901234567890"][0] == "int"
 
     pairs = [("10", "10.0", True), ("true", "1", True), ("nan", "nan", False), ("9007199254740993", "9007199254740992", True), ('"a"', "a", True), ("1", '"1"', False)]
-    df = spark.createDataFrame(pairs, "a string, b string, same boolean").select("same", V.values_equal(V.inferred_value(F.col("a")), V.inferred_value(F.col("b"))).alias("got"))
+    df = spark.createDataFrame(pairs, "a string, b string, same boolean").select("same", *[V.inferred_value(F.col(c)).alias(c) for c in "ab"])
+    df = df.select("same", V.values_equal(F.col("a"), F.col("b")).alias("got"))
     assert all(r["same"] == r["got"] for r in df.collect())
 
 

@@ -66,9 +66,12 @@ def number_value(c: Column, trimmed: bool = False) -> Column:
     return F.coalesce(int_value(c, trimmed), float_value(c, trimmed))
 
 
-def inferred_value(c: Column) -> Column:
-    """The value of an existing literal: boolean, quoted string, integer, float, or else the text itself."""
-    v = strip(c)
+def inferred_value(c: Column, trimmed: bool = False) -> Column:
+    """The value of an existing literal: boolean, quoted string, integer, float, or else the text itself.
+
+    The text stands in the expression many times; give it as a trimmed column of its own, so that it is computed once.
+    """
+    v = c if trimmed else strip(c)
     quoted = F.when((F.char_length(v) >= 2) & v.startswith('"') & v.endswith('"'), string_value(v, True))
     return F.coalesce(boolean_value(v, True), quoted, int_value(v, True), float_value(v, True), _value("str", s=v))
 

@@ -41,17 +41,20 @@ def parse_entries(lines: DataFrame, mode: str | Column = "true") -> DataFrame:
     """
     if isinstance(mode, str):
         mode = F.lit(check_mode(mode))
+    # A column a step: what is used more than once is computed once, and the generated code stays small.
     t = token_lines(lines.withColumn("_mode", mode))
     token = F.col("token")
-    key = strip(F.substring_index(token, "=", 1))
-    raw = strip(F.regexp_replace(token, "^[^=]*=", ""))
-    value = (
+    t = t.withColumns({"_left": F.substring_index(token, "=", 1), "_right": F.regexp_replace(token, "^[^=]*=", "")})
+    t = t.withColumns({"_left": strip(F.col("_left")), "_right": strip(F.col("_right"))})
+    key, raw = F.col("_left"), F.col("_right")
+    read = (
         F.when(F.col("_mode") == "true", F.from_json(F.lit('{"tag":"bool","b":true}'), V.VALUE))
         .when(F.col("_mode") == "=", V.string_value(raw, True))
         .when(F.col("_mode") == "=b", V.boolean_value(raw, True))
         .when(F.col("_mode") == "=n", V.number_value(raw, True))
     )
-    typed = F.col("_mode") != "true"
+    t = t.withColumn("_value", read)
+    typed, value = F.col("_mode") != "true", F.col("_value")
     error = (
         F.when(~F.col("_mode").isin(*MODES), F.concat(F.lit("Unsupported map value type: "), F.col("_mode")))
         .when(typed & (F.instr(token, "=") == 0), F.lit("Source lines must include '=' when using typed modes."))
@@ -64,7 +67,8 @@ def parse_entries(lines: DataFrame, mode: str | Column = "true") -> DataFrame:
 
 def fail_on_error(rows: DataFrame, kind: type[Exception] = EntryError) -> DataFrame:
     """``rows`` without the column error; raises the first one by path and seq, if there is any."""
-    first = rows.where("error is not null").agg(F.min(F.struct("path", "seq", "error")).alias("e")).first()["e"]
+    # No filter: pushed down, it would bring all that error is made of into one expression.
+    first = rows.agg(F.min(F.when(F.col("error").isNotNull(), F.struct("path", "seq", "error"))).alias("e")).first()["e"]
     if first is not None:
         raise kind(first["error"])
     return rows.drop("error")

@@ -37,7 +37,7 @@ def existing_entries(lines: DataFrame, bounds: DataFrame) -> DataFrame:
     inner = lines.join(bounds.select("path", "start", "end"), "path").where("line_no > start and line_no < end")
     part = lambda k: F.regexp_extract("line", ENTRY, k)
     hit = inner.where(F.col("line").rlike(ENTRY)).select("path", "line_no", part(1).alias("indent"), part(2).alias("key"), strip(part(3)).alias("raw_value"), part(4).alias("comment"))
-    return hit.withColumn("value", V.inferred_value(F.col("raw_value")))
+    return hit.withColumn("value", V.inferred_value(F.col("raw_value"), trimmed=True))
 
 
 def upsert_actions(existing: DataFrame, entries: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import values as V
 from weftline.operators import allowlist, entries
-from weftline.sources.lines import explode_lines
+from weftline.sources.lines import explode_lines, strip
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,8 +128,10 @@ def value_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literals of several kinds, inferred and rendered again."""
     o = _t(spark, sf_dir, "orders").withColumn("kind", F.expr("o_orderkey % 4"))
     raw = F.when(F.col("kind") == 0, F.col("o_orderkey").cast("string")).when(F.col("kind") == 1, F.lit("TRUE")).when(F.col("kind") == 2, F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))).otherwise(F.col("o_orderstatus"))
-    v = V.inferred_value(raw)
-    return o.select("o_orderkey", v["tag"].alias("tag"), V.render_value(v).alias("literal"))
+    # A column a step: the value is used many times and computed once.
+    o = o.select("o_orderkey", raw.alias("raw")).select("o_orderkey", strip(F.col("raw")).alias("raw"))
+    o = o.select("o_orderkey", V.inferred_value(F.col("raw"), trimmed=True).alias("v"))
+    return o.select("o_orderkey", F.col("v.tag").alias("tag"), V.render_value(F.col("v")).alias("literal"))
 
 
 _QUERIES = [line_parse, typed_kv, last_wins, upsert, upsert_counts, section_fill, block_end, joined_names, ordered_difference, keep_first, single_or_null, priority_pick, merge_sections, run_removal, insert_if_absent, reference_split, fallback_chain, value_inference]
