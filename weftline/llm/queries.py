@@ -53,7 +53,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: a source is a repository, with directories of 64 and of 8 documents that follow one another."""
+    """Documents as files: a source is a repository, with directories of 1,280 and of 160 documents that follow one another."""
     docs = table(spark, sf_dir, "documents")
     of = lambda n: F.floor(F.col("doc_id") / n).cast("string")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), of(64 * 20), of(8 * 20), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
