@@ -41,23 +41,17 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it whole, and once more its first words where it takes a part."""
+    """Each document as many times as the mix takes it, always whole."""
     own = Window.partitionBy("_th", "doc_id").orderBy("source", "lang", "n_chars")
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_th"), mixing.word_count(F.col("text")).alias("_words"))
     # Which copy of repeated rows a row is; only slim rows go through the mix.
     slim = rows.select("doc_id", "source", "_th", "_words", F.row_number().over(own).alias("_copy"))
-    taken = mixing.mix(slim, size_col="_words", carry=("_th", "_copy")).where("taken > 0").select(F.col("doc_id").alias("_id"), "_th", "_copy", "size", "taken")
+    taken = mixing.whole(slim, size_col="_words", carry=("_th", "_copy")).where("copies > 0").select(F.col("doc_id").alias("_id"), "_th", "_copy", "copies")
     rows = rows.drop("_words").withColumn("_copy", F.row_number().over(own))
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     d = rows.join(taken, ["_th", "_copy"]).where(same)
-    part = F.col("taken") % F.col("size")
-    d = d.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")).cast("long"))))
-    # Split after each word, so that every part is one word and the white space before it.
-    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    first = F.array_join(F.slice(words, F.lit(1), part.cast("int")), "")
-    whole = F.col("_n") * F.col("size") <= F.col("taken")
-    text = F.when(whole, F.col("text")).otherwise(first)
-    return d.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.char_length("text").cast("long"))
+    d = d.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return d.select("doc_id", "text", "lang", "source").withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

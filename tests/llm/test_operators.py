@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -237,6 +238,28 @@ def test_mixing(docs, rows, none):
     assert mixing.mix(none).count() == 0 and mixing.mix(docs.where("trim(text) = ''")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_pipeline_mixes_whole_documents(spark, docs, rows, monkeypatch):
+    """No document is cut, and sources far below a block get their target too."""
+    monkeypatch.setattr(mixing, "BLOCKS", 16)
+    more = [(1000 + 10 * k + i, "few words of a small source", "a", f"tiny{k}") for k in range(4) for i in range(3)]
+    rows = rows + [(*r, len(r[1]), 1, "s", True, 5, "t", "p") for r in more]
+    df = docs.unionByName(spark.createDataFrame(rows[len(rows) - len(more) :], DOCS))
+    out = corpus_pipeline.source_mix(spark, df, "").collect()
+    assert {(r["doc_id"], r["text"]) for r in out} <= {(r[0], r[1]) for r in rows}
+    size = lambda t: len(B.WORD.findall(t or ""))
+    sizes, most, got = {}, {}, {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + size(r[1])
+        most[r[3]] = max(most.get(r[3], 0), size(r[1]))
+    for r in out:
+        got[r["source"]] = got.get(r["source"], 0) + size(r["text"])
+    for k, v in B.targets(sizes, sum(sizes.values())).items():
+        assert abs(got.get(k, 0) - v) <= 2 + most[k] / 2
+    again = corpus_pipeline.source_mix(spark, df.repartition(3), "").collect()
+    assert sorted(key(r["doc_id"], r["text"]) for r in out) == sorted(key(r["doc_id"], r["text"]) for r in again)
+    assert corpus_pipeline.source_mix(spark, df.limit(0), "").count() == 0
+
+
 def test_apportionment_is_by_highest_quotients(spark):
     rng = random.Random(6)
     for _ in range(3):

@@ -78,6 +78,43 @@ def apportion(rows: DataFrame, seats: str, weight: str, most: str, within: list[
     return c.groupBy(*rows.columns, "_sure").agg(won.alias("_won")).withColumn("quota", F.col("_sure") + F.col("_won")).drop("_sure", "_won")
 
 
+def _laid(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: tuple[str, ...], size_col: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their seeded order, the words of each source's cells, and the sources' targets."""
+    key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
+    rows = stash(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("skey"), (F.col(size_col) if size_col else word_count(F.col(text_col))).alias("size"), *carry), "mix-rows")
+    rows = rows.withColumn("draw", _draw(F.col("doc_id"))).withColumn("cell", F.pmod("draw", F.lit(CELLS)))
+    cells = rows.groupBy("skey", "cell").agg(F.sum("size").alias("cell_size"))
+    return rows, cells, source_targets(cells.groupBy("skey").agg(F.sum("cell_size").alias("source_size")))
+
+
+def _ends(rows: DataFrame, cells: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with the column end: the words of their source up to and with their own, in seeded order."""
+    start = F.coalesce(F.sum("cell_size").over(Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select("skey", "cell", start.alias("cell_start"))
+    end = F.sum("size").over(Window.partitionBy("skey", "cell").orderBy("draw", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("end", end).join(cells, ["skey", "cell"]).withColumn("end", F.col("end") + F.col("cell_start"))
+
+
+def whole(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), size_col: str | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, then the columns named in carry): how often the mix takes each document, always whole.
+
+    Sources get whole words by the highest quotients (``mix`` with blocks of one word). Each document is taken as often
+    as the quota holds its source; of what remains, in seeded order, each document whose middle lies within it is taken
+    once more. So a source's words are within a word or so and half of one document of its target, whatever the size of
+    the source or of the table, and no document is cut. Documents without words are taken 0 times; a source that is one
+    document of more than twice its target is left out. Otherwise as ``mix``; rows alike in doc_id and size are in order
+    of the columns in carry.
+    """
+    rows, cells, sources = _laid(docs, id_col, text_col, source_col, carry, size_col)
+    s = sources.select("skey", "source_size", "target", (F.col("source_size") * MOST).alias("most"), F.col("total").cast("long").alias("seats"), F.lit(0).alias("one"))
+    s = apportion(s, "seats", "target", "most", ["one"]).select("skey", "source_size", "target", "quota")
+    d = _ends(rows, cells, carry).join(F.broadcast(stash(s, "mix-sources")), "skey")
+    rounds = F.floor(F.col("quota") / F.col("source_size"))
+    middle = 2 * F.col("end") - F.col("size")
+    copies = rounds + (middle <= 2 * (F.col("quota") - rounds * F.col("source_size"))).cast("long")
+    return d.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies"), *carry)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), size_col: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, then the columns named in carry): how many words of each document the mix takes, repeats counted.
 
@@ -94,11 +131,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Tables that are broadcast or pass one window hold at most BLOCKS rows and one for each source. A hot source is laid
     out in CELLS parts.
     """
-    key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
-    rows = stash(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("skey"), (F.col(size_col) if size_col else word_count(F.col(text_col))).alias("size"), *carry), "mix-rows")
-    rows = rows.withColumn("draw", _draw(F.col("doc_id"))).withColumn("cell", F.pmod("draw", F.lit(CELLS)))
-    cells = rows.groupBy("skey", "cell").agg(F.sum("size").alias("cell_size"))
-    sources = source_targets(cells.groupBy("skey").agg(F.sum("cell_size").alias("source_size")))
+    rows, cells, sources = _laid(docs, id_col, text_col, source_col, carry, size_col)
     sources = stash(sources.withColumn("block", F.greatest(F.ceil(F.col("total") / BLOCKS), F.lit(1)).cast("long")), "mix-sources")
 
     # Whole numbers of blocks for the sources.
@@ -119,10 +152,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     b = stash(b.select("skey", "b", "times", F.coalesce(before, F.lit(0)).alias("before")), "mix-blocks")
 
     # A document lies from start to end in its source's words; what is taken of it is the difference of two sums.
-    start = F.coalesce(F.sum("cell_size").over(Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select("skey", "cell", start.alias("cell_start"))
-    end = F.sum("size").over(Window.partitionBy("skey", "cell").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    d = rows.withColumn("end", end).join(cells, ["skey", "cell"]).withColumn("end", F.col("end") + F.col("cell_start"))
+    d = _ends(rows, cells)
     d = d.join(sources.select("skey", "source_size", "target", "block"), "skey")
     d = d.withColumn("first", F.floor((F.col("end") - F.col("size")) / F.col("block"))).withColumn("last", F.floor((F.col("end") - 1) / F.col("block")))
 
