@@ -138,6 +138,29 @@ def test_crf_adds_to_the_patterns():
         assert pii.crf_spans(crf, [clean]) == [[]]
 
 
+def test_crf_decodes_whole_texts():
+    crf, plain = pii.train(), "only plain words of no interest " * 30
+    found = lambda t: [t[a:b] for k, a, b in pii.crf_spans(crf, [t])[0]]
+    for address in ("kim at site dot org", "ann (At) site [Dot] org", "ann {at} site {dot} org"):
+        assert found(f"{plain}write to {address} today {plain}") == [address]
+    assert found("the dot at the end of the line is at the left " * 20) == []
+    for n in range(508, 514):  # across what was a cut
+        assert found("7 " * n + "call (415) 555-0199 after nine") == found("7 call (415) 555-0199 after nine") == ["(415) 555-0199"]
+    rng = random.Random(7)
+    words = "the house call at dot 12 (at) a.b x-y +1 555-0147 4111 10.0.0.1 phone joe@x (dot) org".split()
+    for p in (0.03, 0.1, 0.3, 1) * 25:  # parts give the best path of the whole
+        text = [rng.choice(words) if rng.random() < p else "plain" for _ in range(rng.randint(1, 200))]
+        ids, got = crf.read(text), np.zeros(len(text), int)
+        for lo, hi in crf.chains(ids):
+            e = crf.emissions(ids, lo, hi)
+            if lo:
+                e[0, 1:] = -np.inf
+            if hi < len(text):
+                e[-1, 1:] = -np.inf
+            got[lo:hi] += crf.viterbi([e])[0]
+        assert (got == crf.viterbi([crf.emissions(ids, 0, len(text))])[0]).all()
+
+
 def test_viterbi_finds_the_best_path():
     crf, rng = pii.train(), np.random.default_rng(2)
     chains = [rng.normal(size=(n, len(pii.LABELS))) * 3 for n in (1, 2, 4, 3)]

@@ -52,8 +52,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 LABELS = ("O", *KINDS)
 _TOKEN = re.compile(r"[^\s]+")
 _HOT = re.compile(r"[0-9@+]")
-#: Plain words on either side of a token with a digit, @ or + that are decoded with it.
-MARGIN = 4
+
+#: Places of the chains that are decoded together; a longer chain is decoded alone.
+CELLS = 1 << 18
 
 #: The labelled table: a text, with {kind:...} around what is personal.
 LABELLED = """
@@ -117,13 +118,18 @@ def _shape(word: str) -> str:
     return "".join(out)
 
 
-_CUES = {"at": "at", "(at)": "at", "[at]": "at", "dot": "dot", "(dot)": "dot", "[dot]": "dot"}
+_CUES = {"at": "at", "(at)": "at", "[at]": "at", "{at}": "at", "dot": "dot", "(dot)": "dot", "[dot]": "dot", "{dot}": "dot"}
+_AROUND = ".,;:!?\"'"
 _CALLS = {"call", "phone", "tel", "telephone", "tel.", "fax", "mobile", "ring", "cell"}
 
 
+def _cue(word: str) -> str:
+    return _CUES.get(word.strip(_AROUND).lower(), "")
+
+
 def _features(word: str) -> list[str]:
     """The word-shape features of one word."""
-    core = word.strip(".,;:!?\"'")
+    core = word.strip(_AROUND)
     s = _shape(core)
     digits = sum("0" <= c <= "9" for c in core)
     f = ["bias", f"digits={min(digits, 20) if digits < 4 else min(digits // 2 * 2, 20)}", f"dots={min(core.count('.'), 4)}", f"hyphens={min(core.count('-'), 3)}"]
@@ -131,19 +137,84 @@ def _features(word: str) -> list[str]:
         f += [f"shape={s}", f"head={s[:2]}", f"tail={s[-2:]}", f"mark={'@' in core}{core[:1] == '+'}{'(' in core}", f"letters={any(c.isalpha() for c in core)}"]
     else:
         f.append("plain")
-        if core.lower() in _CUES or word.lower() in _CUES:
-            f.append("cue=" + _CUES.get(core.lower(), _CUES.get(word.lower(), "")))
+        if _cue(word):
+            f.append("cue=" + _cue(word))
         if core.lower() in _CALLS:
             f.append("call")
     return f
 
 
+class _Ids(dict):
+    """A word's class, that of its features; long words are not kept."""
+
+    def __init__(self, crf: Crf):
+        self.crf = crf
+
+    def __missing__(self, word: str) -> int:
+        core = word.strip(_AROUND)
+        plain = core.isalpha() and core.lower() not in _CUES and core.lower() not in _CALLS
+        k = Crf.PLAIN if plain else self.crf.of(_features(word))
+        if len(word) <= 64:
+            self[word] = k
+        return k
+
+
 class Crf:
-    """Linear chain: a score for each label by the features of a word and of its neighbours, and for label pairs."""
+    """Linear chain: a score for each label by the features of a word and of its neighbours, and for label pairs.
+
+    Words with the same features are one class; PLAIN is that of most words, EDGE stands before the first and after the last.
+    """
+
+    PLAIN, EDGE = 0, 1
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.names, self.weights, self.moves = names, weights, moves
-        self.known: dict[str, np.ndarray] = {}
+        self.clear()
+        self.margin = self._margin()
+
+    def clear(self) -> None:
+        self.ids, self.classes = _Ids(self), {}
+        #: What a word adds to the labels of its own place, of the next one and of the one before, by class.
+        self.adds = np.zeros((3, 64, len(LABELS)))
+        #: Whether a span that counts has a word of the class: one with a digit, @ or +, or an at.
+        self.telling = np.zeros(64, bool)
+        self.of(_features("word"))
+        self.of(["edge"])
+
+    def of(self, features: list[str]) -> int:
+        k = self.classes.setdefault(tuple(features), len(self.classes))
+        if k == len(self.classes) - 1:
+            if k == self.adds.shape[1]:
+                self.adds = np.concatenate([self.adds, np.zeros_like(self.adds)], 1)
+                self.telling = np.concatenate([self.telling, np.zeros_like(self.telling)])
+            self.telling[k] = "plain" not in features or "cue=at" in features
+            for i, side in enumerate(("", "-", "+")):
+                self.adds[i, k] = self.weights[[self.names[side + f] for f in features if side + f in self.names]].sum(0)
+        return k
+
+    def read(self, words: list[str]) -> np.ndarray:
+        """The words' classes, with an edge on both sides."""
+        if len(self.ids) > 200_000 or len(self.classes) > 50_000:
+            self.clear()
+        return np.array([self.EDGE, *map(self.ids.__getitem__, words), self.EDGE], np.int64)
+
+    def _margin(self) -> int | None:
+        """So many words at each end of a run of plain words between plain words may have labels; in the best path the others are O.
+
+        In m such words of which none is O, writing O for all scores more whatever the labels around, so one of any m is O; and between
+        two that are O, writing O for fewer words scores more as well. None if no m up to 64 has this.
+        """
+        e, moves = self.adds[:, self.PLAIN].sum(0), self.moves
+        path = moves[:, 1:] + e[1:]
+        for m in range(1, 65):
+            other = (path[:, :, None] + moves[None, 1:]).max(1)
+            plain = moves[:, :1] + moves[None, 0] + m * e[0] + (m - 1) * moves[0, 0]
+            if (plain > other).all():
+                return m
+            if plain[0, 0] <= other[0, 0]:
+                return None
+            path = (path[:, :, None] + moves[None, 1:, 1:]).max(1) + e[1:]
+        return None
 
     @staticmethod
     def parts(words: list[str]) -> list[list[str]]:
@@ -153,44 +224,52 @@ class Crf:
             for i in range(len(words))
         ]
 
-    def score(self, side: str, word: str) -> np.ndarray:
-        """What a word adds to the labels of its own place (side ''), of the next one ('-') or of the one before ('+')."""
-        key = side + "\0" + word
-        if key not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            at = [self.names[side + f] for f in (_features(word) if word else ["edge"]) if side + f in self.names]
-            self.known[key] = self.weights[at].sum(0)
-        return self.known[key]
+    def emissions(self, ids: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """The scores of words lo to hi of those that were read; their neighbours count."""
+        return self.adds[0, ids[lo + 1 : hi + 1]] + self.adds[1, ids[lo:hi]] + self.adds[2, ids[lo + 2 : hi + 2]]
 
-    def emissions(self, words: list[str]) -> np.ndarray:
-        n = len(words)
-        return np.array([self.score("", w) + self.score("-", words[i - 1] if i else "") + self.score("+", words[i + 1] if i + 1 < n else "") for i, w in enumerate(words)])
+    def chains(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """The parts of a text between words that are O in its best path; such a word is the first and last of a part, unless the text's own end is."""
+        n = len(ids) - 2
+        plain = ids == self.PLAIN
+        odd = np.flatnonzero(~(plain[:-2] & plain[1:-1] & plain[2:]))
+        if not n:
+            return []
+        if self.margin is None:
+            return [(0, n)]
+        gap = np.flatnonzero(np.diff(odd) > 2 * self.margin + 1)
+        starts, ends = odd[gap + 1] - self.margin - 1, odd[gap] + self.margin + 2
+        return list(zip([0, *starts.tolist()], [*ends.tolist(), n], strict=True))
 
     def viterbi(self, chains: list[np.ndarray]) -> list[np.ndarray]:
-        """The best labels of each chain; all chains go step by step together, the longest first."""
-        if not chains:
-            return []
+        """The best labels of each chain; chains go step by step together, the longest first, as many as have CELLS places."""
         order = np.argsort([-len(c) for c in chains], kind="stable")
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(chains)
+        lo = 0
+        while lo < len(order):
+            hi = lo + max(CELLS // len(chains[order[lo]]), 1)
+            self._together(chains, order[lo:hi], out)
+            lo = hi
+        return out
+
+    def _together(self, chains: list[np.ndarray], order: np.ndarray, out: list[np.ndarray]) -> None:
         lengths = np.array([len(chains[i]) for i in order])
         t_most, k = lengths[0], len(LABELS)
-        e = np.zeros((len(chains), t_most, k))
+        e = np.zeros((len(order), t_most, k))
         for row, i in enumerate(order):
             e[row, : lengths[row]] = chains[i]
-        best, back = e[:, 0].copy(), np.zeros((len(chains), t_most, k), np.int8)
+        best, back = e[:, 0].copy(), np.zeros((len(order), t_most, k), np.int8)
         for t in range(1, t_most):
             m = int((lengths > t).sum())
             step = best[:m, :, None] + self.moves[None]
             back[:m, t] = step.argmax(1)
             best[:m] = step.max(1) + e[:m, t]
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(chains)
         for row, i in enumerate(order):
             y = np.zeros(lengths[row], np.int8)
             y[-1] = best[row].argmax()
             for t in range(lengths[row] - 1, 0, -1):
                 y[t - 1] = back[row, t, y[t]]
             out[i] = y
-        return out
 
 
 def _read_labelled(lines: list[str]) -> list[tuple[list[str], list[int]]]:
@@ -244,62 +323,38 @@ def train(lines: list[str] = LABELLED, rounds: int = 250, rate: float = 0.25, ri
     return Crf(names, weights, moves)
 
 
-def crf_chains(text: str) -> list[list[tuple[int, int]]]:
-    """Word spans of the parts of a text that are decoded: words with a digit, @ or +, or obfuscated, and MARGIN words around.
-
-    A longer run of other words has no personal data by the model, whose plain words all look alike to it.
-    """
-    near: list[tuple[int, int]] = []
-    last = -1
-    for m in _HOT_OR_CUE.finditer(text):
-        at = m.start()
-        if at < last:
-            continue
-        lo = hi = at
-        for _ in range(MARGIN + 1):
-            lo = _word_start(text, lo)
-            if lo <= 0:
-                break
-            lo -= 1
-        for _ in range(MARGIN + 1):
-            hi = _word_end(text, hi)
-            if hi >= len(text):
-                break
-            hi += 1
-        lo, hi, last = max(lo, 0), min(hi, len(text)), _word_end(text, at)
-        if near and lo <= near[-1][1]:
-            near[-1] = (near[-1][0], hi)
-        else:
-            near.append((lo, hi))
-    return [[w.span() for w in _TOKEN.finditer(text, lo, hi)] for lo, hi in near]
-
-
-_HOT_OR_CUE = re.compile(r"[0-9@+]|[\[(](?:at|AT|dot|DOT)[\])]")
-_SPACES = re.compile(r"\s")
-
-
-def _word_end(text: str, at: int) -> int:
-    m = _SPACES.search(text, at)
-    return m.start() if m else len(text)
-
-
-def _word_start(text: str, at: int) -> int:
-    while at > 0 and not text[at - 1].isspace():
-        at -= 1
-    return at
+def _address(words: list[str]) -> bool:
+    """Whether words have an at, a word on each side of it, and then a dot between words or within one."""
+    cues = [_cue(w) for w in words]
+    return any(c == "at" and ("dot" in cues[i + 2 : -1] or "." in "".join(words[i + 1 : i + 2]).strip(_AROUND)) for i, c in enumerate(cues) if i)
 
 
 def crf_spans(crf: Crf, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """For each text the spans that the model finds, whatever the patterns say."""
-    where, chains = [], []
+    """For each text the spans that the model finds, whatever the patterns say: those of the best path over all its words.
+
+    A text is decoded in parts that give this path. Parts without a digit, an @ or an at can have none of the spans that count.
+    """
+    where, chains, words = [], [], []
     for d, text in enumerate(texts):
-        for spans in crf_chains(text):
-            for lo in range(0, len(spans), 512):  # a chain of more words is cut
-                part = spans[lo : lo + 512]
-                where.append((d, part))
-                chains.append(crf.emissions([text[a:b] for a, b in part]))
+        words.append(text.split())
+        ids = crf.read(words[d])
+        for lo, hi in crf.chains(ids):
+            if crf.telling[ids[lo + 1 : hi + 1]].any():
+                e = crf.emissions(ids, lo, hi)
+                if lo:
+                    e[0, 1:] = -np.inf
+                if hi < len(words[d]):
+                    e[-1, 1:] = -np.inf
+                where.append((d, lo))
+                chains.append(e)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (d, spans), labels in zip(where, crf.viterbi(chains), strict=True):
+    at: dict[int, list[tuple[int, int]]] = {}
+    for (d, lo), labels in zip(where, crf.viterbi(chains), strict=True):
+        if not labels.any():
+            continue
+        if d not in at:
+            at[d] = [w.span() for w in _TOKEN.finditer(texts[d])]
+        spans = at[d][lo : lo + len(labels)]
         t, n = 0, len(spans)
         while t < n:
             y = labels[t]
@@ -312,7 +367,7 @@ def crf_spans(crf: Crf, texts: list[str]) -> list[list[tuple[str, int, int]]]:
                     a += 1
                 while b > a and texts[d][b - 1] in "\"'>]},;:.!?&%*#$|":
                     b -= 1
-                if b > a and (sum("0" <= c <= "9" for c in texts[d][a:b]) >= 6 or LABELS[y] == "email" and u - t > 2 or "@" in texts[d][a:b]):
+                if b > a and (sum("0" <= c <= "9" for c in texts[d][a:b]) >= 6 or LABELS[y] == "email" and _address(words[d][lo + t : lo + u]) or "@" in texts[d][a:b]):
                     out[d].append((LABELS[y], a, b))
             t = u
     return out
