@@ -194,7 +194,7 @@ class Crf:
 
     def read(self, words: list[str]) -> np.ndarray:
         """The words' classes, with an edge on both sides."""
-        if len(self.ids) > 200_000 or len(self.classes) > 50_000:
+        if len(self.ids) > 50_000 or len(self.classes) > 50_000:
             self.clear()
         return np.array([self.EDGE, *map(self.ids.__getitem__, words), self.EDGE], np.int64)
 
@@ -427,6 +427,7 @@ def scan(docs: DataFrame, text_col: str = "text", with_text: bool = True) -> Dat
                     rows.append(dict(zip(("n_email", "n_ip", "n_card", "n_phone"), n, strict=True)) | {"base_sha256": hashlib.sha256(write(base).encode()).hexdigest(), "spans": write(spans), "redacted": redacted})
             kind = pa.struct([(k, pa.int64()) for k in ("n_email", "n_ip", "n_card", "n_phone")] + [(k, pa.string()) for k in ("base_sha256", "spans", "redacted")])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, "_pii"])
+        own.clear()
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"_pii struct<{_FOUND.replace(' long', ': bigint').replace(' string', ': string')}>"])
     return lean(docs).select("*").mapInArrow(run, fields)
