@@ -358,6 +358,14 @@ def test_densest_block_is_found_without_an_article():
     assert html.main_text(page) == "\n".join([("Some words of the story that go on for a while. " * 4).strip()] * 5)
 
 
+@pytest.mark.parametrize("name", ["with-sidebar", "no-sidebar", "layout-header-fixed", "social-story", "widget", "comments-open"])
+def test_names_do_not_drop_the_main_text(name):
+    story = "Some words of the story that go on for a while. " * 4
+    body = f'<div class="post-header"><h1>Title</h1></div>{f"<p>{story}</p>" * 4}<div class="comments"><p>{story}</p></div>'
+    aside = f'<div class="sidebar"><ul>{"<li><a href=x>link text</a></li>" * 20}</ul></div><div class="cookie-notice">We use cookies</div>'
+    assert html.main_text(f'<body><div id="content" class="{name}">{body}</div>{aside}</body>') == "\n".join(["Title", *[story.strip()] * 4])
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))

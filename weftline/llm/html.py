@@ -26,7 +26,13 @@ _DROP_WORDS = set(
     cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist respond replies disqus share sharing social related recommended newsletter subscribe signup login
     widget pagination pager toolbar contentinfo complementary search""".split()
 )
+# Of these, words of what readers, advertisers or the site's forms say; words that turn a name's meaning; and words of an article's own header.
+_OTHERS = set("comment comments commentlist respond replies disqus ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe signup login".split())
+_TURNED = set("no not non with without has have hide hidden show open is".split())
+_OWN = set("post entry article story content news blog".split())
 _WHOLE = {"article", "main"}
+#: An element whose name has such a word stays if it has this part of the page's text that isn't links: of a name that is the word, or of another.
+PART, PART_WITHIN = 0.5, 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([a-zA-Z-]+)")
@@ -37,7 +43,7 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element, with what its subtree holds: characters, tags, link characters, link tags."""
 
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "drop")
+    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "drop", "name")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool):
         self.tag, self.parent, self.drop = tag, parent, drop
@@ -45,6 +51,7 @@ class Node:
         self.parts: list[str | Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.name = ""
 
 
 def _unwanted(tag: str, attributes: str, parent: Node) -> bool:
@@ -61,14 +68,28 @@ def _unwanted(tag: str, attributes: str, parent: Node) -> bool:
         name, value = (m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id", "role") and not _DROP_WORDS.isdisjoint(_WORD.findall(value)):
-            return True
     return False
 
 
-def parse(page: str) -> Node:
-    """The tree of a page, with the ends that HTML lets authors leave out. Dropped elements hold no text."""
-    root = Node("html", None, False)
+def _name(tag: str, attributes: str) -> str:
+    """What class, id and role say: "others" or "side" if one is such a word or ends in it, "part" if one has it elsewhere; else nothing."""
+    found = ""
+    if attributes and tag not in ("html", "body", "article", "main"):
+        for m in _ATTRIBUTE.finditer(attributes):
+            if (m[1] or m[5]).lower() in ("class", "id", "role"):
+                for name in (m[2] or m[3] or m[4] or "").lower().split():
+                    parts = _WORD.findall(name)
+                    if _DROP_WORDS.isdisjoint(parts) or parts[-1] == "header" and not _OWN.isdisjoint(parts):
+                        continue
+                    if parts[-1] in _OTHERS and _TURNED.isdisjoint(parts):
+                        return "others"
+                    found = "side" if parts[-1] in _DROP_WORDS and _TURNED.isdisjoint(parts) else found or "part"
+    return found
+
+
+def parse(page: str) -> tuple[Node, list[Node]]:
+    """The tree of a page, with the ends that HTML lets authors leave out, and the elements in it that have a name. Dropped elements hold no text."""
+    root, named = Node("html", None, False), []
     at, pos = root, 0
     for m in _iterate(page):
         kind, a, b, c = m
@@ -83,6 +104,9 @@ def parse(page: str) -> Node:
             if a in _SAME:
                 at = _close(at, *_SAME[a])
             node = Node(a, at, at.drop or _unwanted(a, b, at))
+            node.name = "" if node.drop else _name(a, b)
+            if node.name:
+                named.append(node)
             at.children.append(node)
             at.parts.append(node)
             if a not in _VOID and not c:
@@ -96,7 +120,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up is not None and up.parent is not None:
                 at = up.parent
-    return root
+    return root, named
 
 
 def _close(at: Node, tags: set[str], scope: set[str]) -> Node:
@@ -149,7 +173,7 @@ def measure(root: Node) -> list[Node]:
         stack.extend(reversed(x.children))
     for x in reversed(nodes):
         x.chars = sum(len(p) - p.count(" ") for p in x.parts if isinstance(p, str) and not p.isspace())
-        x.link_chars = 0
+        x.link_chars = x.link_tags = 0
         x.tags = 1
         for c in x.children:
             if not c.drop:
@@ -170,6 +194,42 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _core(nodes: list[Node]) -> Node | None:
+    """The node of the largest sum of its children's densities, among those with text and a child that isn't inline."""
+    return max((x for x in nodes if x.chars and any(c.tag not in _INLINE and not c.drop for c in x.children)), key=lambda x: x.total, default=None)
+
+
+def drop_named(root: Node, named: list[Node]) -> None:
+    """Drop the elements whose name says that they aren't main text, unless what they hold says that they are.
+
+    One around an article or main element stays. What others say (_OTHERS) goes otherwise, unless an h1 is in it. Others stay if
+    they are no more than half links and lie around the densest node or have a large part of the page's text.
+    """
+    if not named:
+        return
+    nodes = measure(root)
+    around: set[int] = set()
+    holds: set[int] = set()
+    up = _core(nodes)
+    while up is not None:
+        around.add(id(up))
+        up = up.parent
+    heads: set[int] = set()
+    for x in nodes:
+        if x.tag in _WHOLE or x.tag == "h1":
+            up, of = x.parent, holds if x.tag in _WHOLE else heads
+            while up is not None and id(up) not in of:
+                of.add(id(up))
+                up = up.parent
+    page = max(root.chars - root.link_chars, 1)
+    for x in named:
+        part = (x.chars - x.link_chars) / page
+        if id(x) in holds or x.name == "others" and id(x) in heads:
+            continue
+        text = 2 * x.link_chars <= x.chars and (id(x) in around or part >= (PART_WITHIN if x.name == "part" else PART))
+        x.drop = x.name == "others" or not text
+
+
 def select(root: Node) -> list[Node]:
     """The nodes whose subtrees are the main text, in page order.
 
@@ -178,10 +238,9 @@ def select(root: Node) -> list[Node]:
     node of the largest sum within it. An article or main element around such a node is taken whole.
     """
     nodes = [x for x in measure(root) if x.chars]
-    holders = [x for x in nodes if any(c.tag not in _INLINE and not c.drop for c in x.children)]
-    if not holders:
+    core = _core(nodes)
+    if core is None:
         return [root] if root.chars else []
-    core = max(holders, key=lambda x: x.total)
     path, up = [core], core.parent
     while up is not None:
         path.append(up)
@@ -258,7 +317,9 @@ def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by line feeds; empty if there is none."""
     if not page:
         return ""
-    return "\n".join(b for node in select(parse(page)) for b in blocks(node))
+    root, named = parse(page)
+    drop_named(root, named)
+    return "\n".join(b for node in select(root) for b in blocks(node))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
