@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import zlib
 
 import numpy as np
 
+sys.set_int_max_str_digits(0)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 

@@ -2,14 +2,18 @@
 
 import math
 import random
+import time
 import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from weftline.llm import html, langid, licenses, mixing, neardup, packing, pii, quality, sharding, vectors
+from weftline.llm import components as components_module
 from weftline.llm.components import components
+from weftline.llm.textvec import Words, utf8
 
 from . import brute as B
 
@@ -113,6 +117,7 @@ def test_decision_list_is_learned_and_read_by_spark(spark):
 PII = [
     "mail a.b@c.de, x@y or @z.com, a@b.c.d-e! and a@b..c", "ips 1.2.3.4 256.1.1.1 1.2.3.4.5 01.002.3.255 1.2.3", "card 4111 1111 1111 1111, 4111-1111-1111-1112, 4012888888881881 12 1234567890123456789012",
     "+1 (212) 555-0147 +12 +1234567 +123456789012345678 ++44 20 7946 0958.", None, "", "plain words only " * 50, "é中 4111111111111111 +49 30 901820\n\n1.1.1.1", "a" * 5000 + "@" + "b" * 5000 + ".c", "1." * 4000,
+    "0" * 5000 + ".1.1.1", "9" * 5000 + ".1.1.1 0001.2.3.4.5.6.7.8", "a" * 3000 + "@", "a@" * 2000 + "b.c@d.e.f@g", "x@y.z.@w.v", "1.2.3" + "7" * 3000, "+1" + " " * 3000,
 ]
 
 
@@ -130,11 +135,20 @@ def test_pii(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a" * 400_000 + "@", "0" * 400_000, "1" * 300_000 + ".2.3", "a@" * 200_000, "+" * 200_000 + "1", "x" * 300_000 + "7", "{" * 300_000])
+def test_pii_takes_linear_time(text):
+    began = time.time()
+    pii.base_spans(text)
+    pii.crf_spans(pii.train(rounds=2), [text])
+    assert time.time() - began < 5
+
+
 def test_crf_adds_to_the_patterns():
     crf = pii.train()
     found = {t[a:b]: k for t in ("please call (415) 555-0199 after nine", "write to joe (at) site (dot) com today") for k, a, b in pii.crf_spans(crf, [t])[0]}
     assert found == {"(415) 555-0199": "phone", "joe (at) site (dot) com": "email"}
-    for clean in ("in 1998 there were 12 houses", "chapter 3, page 214 of 500", 'token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" here', "just plain words of no interest"):
+    assert [t[a:b] for t in ["my number 555 867 5309 is new"] for _, a, b in pii.crf_spans(crf, [t])[0]] == ["555 867 5309"]
+    for clean in ("iban DE89 3704 0044 0532 0130 00 given", "in 1998 there were 12 houses", "chapter 3, page 214 of 500", 'token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" here', "just plain words of no interest"):
         assert pii.crf_spans(crf, [clean]) == [[]]
 
 
@@ -215,24 +229,61 @@ def test_near_duplicates(docs, rows, none, width):
     assert neardup.near_duplicates(none).count() == 0
 
 
-def test_large_groups_in_blocks(spark, monkeypatch):
-    """Blocks and parts far smaller than the groups give the same components."""
-    rng = random.Random(9)
-    base = [f"w{rng.randrange(900)}" for _ in range(60)]
-    texts = []
-    for _ in range(150):
+def near_copies(rng, n, base, most=4):
+    out = []
+    for _ in range(n):
         w = list(base)
-        for _ in range(rng.choice((0, 1, 2, 3, 4))):
-            w[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
-        texts.append(" ".join(w))
+        for _ in range(rng.randint(0, most)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_large_nodes(spark, monkeypatch):
+    """Branchings, parts and blocks far smaller than the groups give the same components: of near copies, and of texts that share a passage."""
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    passage = words(30)
+    texts = near_copies(rng, 150, words(60)) + [" ".join(passage + words(rng.randint(8, 40))) for _ in range(150)] + near_copies(rng, 40, passage + words(12), 3)
     for name, value in (("BLOCK", 16), ("NODE", 20), ("PIVOTS", 2)):
         monkeypatch.setattr(neardup, name, value)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, width=2).collect()}
-    assert [got[i] for i in range(150)] == B.near_duplicates(texts, 2)
+    assert [got[i] for i in range(len(texts))] == B.near_duplicates(texts, 2)
+
+
+def test_jobs_of_a_hot_group_are_bounded(spark):
+    rng = random.Random(3)
+    texts = near_copies(rng, 600, [f"w{rng.randrange(900)}" for _ in range(50)]) + [" ".join(f"v{rng.randrange(3000)}" for _ in range(40)) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, width=2).collect()}
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before <= 80
+    assert [got[i] for i in range(len(texts))] == B.near_duplicates(texts, 2)
 
 
-def test_components(spark):
+def thue_morse(n, a="a", b="b"):
+    t = a
+    while len(t) < n:
+        t += "".join(b if c == a else a for c in t)
+    return t
+
+
+def test_texts_that_collide_modulo_powers_of_two(spark):
+    one = thue_morse(2048)
+    two = one.translate(str.maketrans("ab", "ba"))
+    words = Words(*utf8(pa.array([one, two, one])))
+    assert words.hash[0] == words.hash[2] != words.hash[1]
+    assert quality.text_stats(*utf8(pa.array([f"{one}\n{two}\n{one}"])))[0, 3] == 1
+    df = spark.createDataFrame([(0, one), (1, two), (2, f"{one} {two}"), (3, f"{two} {one}")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df, width=2).collect()) == [(i, i) for i in range(4)]
+    got = {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packing.pack_documents(df).collect()}
+    assert got == {(r["doc_id"], k): B.crc(ids[at : at + 4096]) for r in df.collect() for ids in [B.token_ids(r["text"])] for k, at in enumerate(range(0, len(ids), 4096))}
+
+
+@pytest.mark.parametrize("alone", [1 << 20, 10])
+def test_components(spark, monkeypatch, alone):
+    monkeypatch.setattr(components_module, "ALONE", alone)
     rng = random.Random(2)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(400, 480)]
     want = B.components(pairs, 481)
@@ -352,6 +403,33 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "</b>" * 50_000, "<b>" * 50_000 + "</u>" * 50_000, "<p><td>" + "<ul>" * 50_000, "<div>" * 25_000 + "</p></span>" * 25_000, "<b '" * 50_000, "<header>" * 50_000, "<a href=\"" * 50_000])
+def test_html_takes_linear_time(page):
+    began = time.time()
+    html.main_text(page + "x")
+    assert time.time() - began < 4
+
+
+def test_densities_are_those_of_the_subtrees():
+    root, _ = html.parse(PAGE)
+    nodes = html.measure(root)
+
+    def count(x):  # characters, tags, characters in links, links
+        own = [count(c) for c in x.children if not c.drop]
+        chars = sum(len(p.replace(" ", "")) for p in x.parts if isinstance(p, str) and p.strip()) + sum(c[0] for c in own)
+        links = [sum(c[k] for c in own) for k in (2, 3)]
+        return chars, 1 + sum(c[1] for c in own), *([chars, links[1] + 1] if x.tag == "a" else links)
+
+    body, body_links = count(root)[0], count(root)[2]
+    for x in nodes:
+        chars, tags, link_chars, link_tags = count(x)
+        assert (x.chars, x.tags, x.link_chars, x.link_tags) == (chars, tags, link_chars, link_tags)
+        if chars and link_chars < chars:
+            base = chars / (chars - link_chars) * link_chars + body_links / body * chars + math.e
+            assert x.density == pytest.approx(chars / tags * math.log(chars / max(link_chars, 1) * tags / max(link_tags, 1)) / math.log(math.log(base)), rel=1e-6)
+        assert x.total == pytest.approx(sum(c.density for c in x.children if not c.drop))
+
+
 def test_densest_block_is_found_without_an_article():
     body = "".join(f"<p>{'Some words of the story that go on for a while. ' * 4}</p>" for _ in range(5)).replace(". <", ".<")
     page = f"<body><div><ul>{'<li><a href=x>link text</a></li>' * 20}</ul></div><div><div>{body}</div></div><div><a href=y>more</a> <a href=z>links</a></div></body>"

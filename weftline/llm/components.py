@@ -36,31 +36,52 @@ def roots(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
+#: So many edges, after those of each batch were made stars, go to one task; more are dealt in rounds.
+ALONE = 1 << 20
+
+
+def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """The components of some edges as stars around their smallest ids: as many edges as nodes at most."""
+    ids, index = np.unique(np.concatenate((u, v)), return_inverse=True)
+    parent = np.arange(len(ids))
+    for i, j in zip(index[: len(u)].tolist(), index[len(u) :].tolist(), strict=True):
+        union(parent, i, j)
+    top = roots(parent)
+    keep = np.flatnonzero(top != np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[top[keep]])], names=["u", "v"])
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of each batch as stars around the smallest id: as many as its nodes at most."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        u, v = b.column(0).to_numpy(), b.column(1).to_numpy()
-        ids, index = np.unique(np.concatenate((u, v)), return_inverse=True)
-        parent = np.arange(len(ids))
-        for i, j in zip(index[: len(u)].tolist(), index[len(u) :].tolist(), strict=True):
-            union(parent, i, j)
-        top = roots(parent)
-        keep = np.flatnonzero(top != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[top[keep]])], names=["u", "v"])
+        if b.num_rows:
+            yield _stars(b.column(0).to_numpy(), b.column(1).to_numpy())
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    every = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if every:
+        yield _stars(np.concatenate([u for u, _ in every]), np.concatenate([v for _, v in every]))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (two long columns); label is the component's smallest node.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing changes. Each step moves a row for
-    each edge, and there are never more edges than at the start; the smallest neighbour is pre-aggregated before it
-    is shuffled and is written, so that the join back is one of two plain tables, which adaptive execution splits at a hot node. No part of the graph reaches the driver.
+    The edges of each batch are made stars and written. At most ALONE of them, some 16 MB, are put together by one task;
+    more go through rounds of joins (``_rounds``), with the same labels. No part of the graph reaches the driver.
     """
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    e = e.mapInArrow(_forest, "u long, v long").distinct()
+    e = stash(e.mapInArrow(_forest, "u long, v long"), "edges")
+    e = stash(e.coalesce(1).mapInArrow(_whole, "u long, v long"), "stars") if e.count() <= ALONE else _rounds(e.distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def _rounds(e: DataFrame) -> DataFrame:
+    """Stars around the smallest nodes, by alternate large-star and small-star steps (Kiveris et al., 2014) until nothing changes.
+
+    Each step moves a row for each edge, and there are never more edges than at the start; the smallest neighbour is pre-aggregated
+    before it is shuffled and is written, so that the join back is one of two plain tables, which adaptive execution splits at a hot node.
+    """
     e, before = stash(e, "edges"), None
     while True:
         # Large star: every larger neighbour of a node goes to the smallest of the node and its neighbours.
@@ -74,6 +95,5 @@ def components(edges: DataFrame) -> DataFrame:
         e = stash(e, "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
-            break
+            return e
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

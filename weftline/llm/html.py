@@ -43,7 +43,7 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element, with what its subtree holds: characters, tags, link characters, link tags."""
 
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "drop", "name")
+    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "drop", "name", "whole")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool):
         self.tag, self.parent, self.drop = tag, parent, drop
@@ -52,16 +52,15 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.name = ""
+        #: The outermost article or main element that it is or lies in.
+        self.whole: Node | None = (parent.whole if parent else None) or (self if tag in _WHOLE else None)
 
 
 def _unwanted(tag: str, attributes: str, parent: Node) -> bool:
     if tag in _DROP:
         return True
     if tag == "header":
-        at: Node | None = parent
-        while at and at.tag not in _WHOLE:
-            at = at.parent
-        return at is None
+        return parent.whole is None
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
@@ -87,22 +86,83 @@ def _name(tag: str, attributes: str) -> str:
     return found
 
 
+#: Rules of ends that may be left out: an element of the first set ends, if it is open within the nearest one of the second.
+_RULES = {"p": ({"p"}, {"article", "section", "div", "main", "td", "li", "blockquote", "body"})} | _SAME
+
+
+class _Open:
+    """The open elements, from the root to the place at hand, and counts by which an end that has no start costs nothing.
+
+    Each rule, and the rule that an inline end tag stays within inline elements, has a count for each open scope. What
+    is walked over is closed, so all walks together are no longer than the page.
+    """
+
+    def __init__(self, root: Node):
+        self.at = root
+        self.blocks: dict[str, int] = {}
+        self.inline: list[dict[str, int]] = [{}]
+        self.rules = {k: [0] for k in _RULES}
+
+    def push(self, node: Node) -> None:
+        tag = node.tag
+        if tag in _INLINE:
+            own = self.inline[-1]
+            own[tag] = own.get(tag, 0) + 1
+        else:
+            self.blocks[tag] = self.blocks.get(tag, 0) + 1
+            self.inline.append({})
+        for k in _OPENS.get(tag, ()):
+            self.rules[k].append(0)
+        for k in _COUNTS.get(tag, ()):
+            self.rules[k][-1] += 1
+        self.at = node
+
+    def pop(self) -> str:
+        tag = self.at.tag
+        for k in _COUNTS.get(tag, ()):
+            self.rules[k][-1] -= 1
+        for k in _OPENS.get(tag, ()):
+            self.rules[k].pop()
+        if tag in _INLINE:
+            self.inline[-1][tag] -= 1
+        else:
+            self.blocks[tag] -= 1
+            self.inline.pop()
+        self.at = self.at.parent
+        return tag
+
+    def end(self, tag: str) -> None:
+        """Close the nearest element of this name; an inline one only if no other element stands between."""
+        if (self.inline[-1] if tag in _INLINE else self.blocks).get(tag):
+            while self.pop() != tag:
+                pass
+
+    def leave_out(self, rule: str) -> None:
+        if self.rules[rule][-1]:
+            while self.pop() not in _RULES[rule][0]:
+                pass
+
+
+_OPENS = {t: [k for k, (_, scope) in _RULES.items() if t in scope] for _, s in _RULES.values() for t in s}
+_COUNTS = {t: [k for k, (tags, _) in _RULES.items() if t in tags] for s, _ in _RULES.values() for t in s}
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The tree of a page, with the ends that HTML lets authors leave out, and the elements in it that have a name. Dropped elements hold no text."""
     root, named = Node("html", None, False), []
-    at, pos = root, 0
-    for m in _iterate(page):
-        kind, a, b, c = m
+    open_ = _Open(root)
+    for kind, a, b, c in _iterate(page):
         if kind == "text":
-            if not at.drop:
-                at.parts.append(a)
+            if not open_.at.drop:
+                open_.at.parts.append(a)
         elif kind == "start":
             if a in ("html", "body"):
                 continue
             if a in _ENDS_P:
-                at = _close(at, {"p"}, {"article", "section", "div", "main", "td", "li", "blockquote", "body"})
+                open_.leave_out("p")
             if a in _SAME:
-                at = _close(at, *_SAME[a])
+                open_.leave_out(a)
+            at = open_.at
             node = Node(a, at, at.drop or _unwanted(a, b, at))
             node.name = "" if node.drop else _name(a, b)
             if node.name:
@@ -110,34 +170,17 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             at.children.append(node)
             at.parts.append(node)
             if a not in _VOID and not c:
-                at = node
+                open_.push(node)
         else:
-            up: Node | None = at
-            while up is not None and up.tag != a:
-                if a in _INLINE and up.tag not in _INLINE:
-                    up = None
-                    break
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
+            open_.end(a)
     return root, named
 
 
-def _close(at: Node, tags: set[str], scope: set[str]) -> Node:
-    """The place after the nearest open element of ``tags`` is closed, if none of ``scope`` stands between."""
-    up: Node | None = at
-    while up is not None and up.tag not in scope:
-        if up.tag in tags and up.parent is not None:
-            return up.parent
-        up = up.parent
-    return at
-
-
 def _iterate(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    pos, n = 0, len(page)
+    pos, n, last = 0, len(page), page.rfind(">")
     lowered = None
     while pos < n:
-        m = _TOKEN.search(page, pos)
+        m = _TOKEN.search(page, pos) if pos <= last or page.find("<!--", pos) >= 0 else None  # no tag begins after the last end of one
         if m is None:
             yield "text", page[pos:], "", False
             return
@@ -246,36 +289,13 @@ def select(root: Node) -> list[Node]:
         path.append(up)
         up = up.parent
     threshold = min(x.density for x in path)
-    chosen: dict[int, Node] = {}
-
-    def whole(x: Node) -> Node:
-        top, up = x, x
-        while up is not None:
-            if up.tag in _WHOLE:
-                top = up
-            up = up.parent
-        return top
-
-    chosen[id(core)] = whole(core)
+    if core.whole is not None:
+        return [core.whole]
+    # What lies beside the way to the core is in no other such part.
     on_path = {id(x) for x in path}
-    stack = [c for x in path[1:] for c in x.children if not c.drop and c.chars and id(c) not in on_path and c.tag not in _INLINE]
-    if whole(core) is core or whole(core).tag not in _WHOLE:
-        for c in stack:
-            if c.density >= threshold:
-                chosen[id(c)] = c
-    tops = {id(x): x for x in chosen.values()}
-    inside = [x for x in tops.values() if not _within(x, tops)]
     order = {id(x): i for i, x in enumerate(nodes)}
-    return sorted(inside, key=lambda x: order.get(id(x), 0))
-
-
-def _within(x: Node, tops: dict[int, Node]) -> bool:
-    up = x.parent
-    while up is not None:
-        if id(up) in tops:
-            return True
-        up = up.parent
-    return False
+    beside = [c for x in path[1:] for c in x.children if not c.drop and c.chars and id(c) not in on_path and c.tag not in _INLINE]
+    return sorted([core, *(c for c in beside if c.density >= threshold)], key=lambda x: order[id(x)])
 
 
 def blocks(node: Node) -> list[str]:

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from .store import held, lean
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # from the first digit of a run: where that fails, the others do
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_MAIL_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[^0-9]")
 
 
@@ -33,11 +33,19 @@ def _luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The patterns' matches that pass their tests, by kind and then start; leftmost, not overlapping within a kind."""
     out = []
-    if "@" in text:
-        for run in _MAIL_RUN.finditer(text):  # no match crosses the end of such a run
-            if "@" in run.group():
-                out += [("email", run.start() + m.start(), run.start() + m.end()) for m in _EMAIL.finditer(run.group())]
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split("."))]
+    # An address is found from its @: the name before it, as far as the last address, and the domain after it.
+    at, done = text.find("@"), 0
+    while at >= 0:
+        m = _MAIL_DOMAIN.match(text, at)
+        if m:
+            a = at
+            while a > done and text[a - 1] in _NAME_CHARS:
+                a -= 1
+            if a < at:
+                out.append(("email", a, m.end()))
+                done = m.end()
+        at = text.find("@", max(at + 1, done))
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(x := part.lstrip("0")) <= 3 and int(x or "0") <= 255 for part in m.group().split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             d = _DIGITS.sub("", m.group())
@@ -101,13 +109,19 @@ isbn 978-3-16-148410-0 printed
 price 4500000000000000000000 units
 meet at example street at noon
 a dot on the page
+my number {phone:555 867 5309} at work
+or ring {phone:020 7946 0018} today
+number {phone:555 010 4477} again
+iban DE44 5001 0517 5407 3249 31 given
+account GB29 NWBK 6016 1331 9268 19 there
+iban FR14 2004 1010 0505 0001 3M02 606 here
 """.strip().split("\n")
 
 
 def _shape(word: str) -> str:
     """Letters to a or A, digits to 9, runs cut to the length classes 1, 2, 3, 4 and more (9: up to 4, then +)."""
     out, last, run = [], "", 0
-    for c in word[:64]:
+    for c in word:
         s = "9" if "0" <= c <= "9" else ("A" if c.isupper() else "a") if c.isalpha() else c
         run = run + 1 if s == last else 1
         if s == "9" and run <= 4 or s != "9" and run <= 1:
@@ -182,14 +196,17 @@ class Crf:
         self.of(["edge"])
 
     def of(self, features: list[str]) -> int:
-        k = self.classes.setdefault(tuple(features), len(self.classes))
-        if k == len(self.classes) - 1:
+        telling = "plain" not in features or "cue=at" in features
+        known = [f for f in features if any(side + f in self.names for side in ("", "-", "+"))]
+        new = len(self.classes)
+        k = self.classes.setdefault((telling, *known), new)
+        if k == new:
             if k == self.adds.shape[1]:
                 self.adds = np.concatenate([self.adds, np.zeros_like(self.adds)], 1)
                 self.telling = np.concatenate([self.telling, np.zeros_like(self.telling)])
-            self.telling[k] = "plain" not in features or "cue=at" in features
+            self.telling[k] = telling
             for i, side in enumerate(("", "-", "+")):
-                self.adds[i, k] = self.weights[[self.names[side + f] for f in features if side + f in self.names]].sum(0)
+                self.adds[i, k] = self.weights[[self.names[side + f] for f in known if side + f in self.names]].sum(0)
         return k
 
     def read(self, words: list[str]) -> np.ndarray:

@@ -48,9 +48,14 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     has = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
     start, end, doc = start[has], end[has], doc[has]
     key = mix(w.span_hash(start, end) + doc.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    first = np.unique(key, return_index=True)[1]
+    first, inverse = np.unique(key, return_index=True, return_inverse=True)[1:]
     lines = np.bincount(doc, minlength=n)
-    out[:, 3] = lines - np.bincount(doc[first], minlength=n)
+    again = np.flatnonzero(first[inverse] != np.arange(len(key)))
+    earlier = first[inverse[again]]
+    again = again[(end[again] - start[again] == end[earlier] - start[earlier])]
+    earlier = first[inverse[again]]
+    again = again[w.same_bytes(start[again], start[earlier], end[again] - start[again])]
+    out[:, 3] = np.bincount(doc[again], minlength=n)
     # Words in windows that the text has twice or more.
     h, at = w.windows(WINDOW)
     key = mix(h + w.doc[at].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))

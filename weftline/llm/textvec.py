@@ -14,25 +14,45 @@ import pyarrow.compute as pc
 
 SLICE = 1 << 20
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts hash to polynomials modulo the prime 2^31 - 1, with two bases and two tables of byte values drawn at random: 62 bits
+#: together. Modulo a power of two, texts as the Thue-Morse word would collide whatever the base.
+_M = (1 << 31) - 1
+_PRIME, _BITS = np.uint64(_M), np.uint64(31)
+_BYTE = _RNG.integers(1, _M, (2, 256), dtype=np.uint64)
+_BASE = [int(x) for x in _RNG.integers(1 << 20, _M, 2)]
+#: Multiplier that joins hashes of words, which are mixed already, to those of windows.
 _P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the multiplier and of its inverse, modulo 2^64."""
-    if len(_powers[0]) <= n:
+def _fold(x: np.ndarray) -> np.ndarray:
+    """The same modulo the prime, below 2^33 for any 64 bits and below 2^32 for less than 2^62."""
+    return (x & _PRIME) + (x >> _BITS)
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(_fold(x)))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _geometric(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n of a base modulo the prime, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) <= n:
+        out = np.concatenate((out, _residue(out * np.uint64(pow(base, len(out), _M)))))
+    return out
+
+
+def _pow(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each base its powers 0 to n, at least, and those of its inverse."""
+    if not _tables or len(_tables[0][0]) <= n:
         size = max(n + 1, SLICE + 1)
-        for i, base in enumerate((_P, _P_INV)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[i] = np.multiply.accumulate(table)
-    return _powers[0], _powers[1]
+        _tables[:] = [(_geometric(b, size), _geometric(pow(b, -1, _M), size)) for b in _BASE]
+    return _tables
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,7 +90,7 @@ def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of some texts: maximal runs of bytes that ``gap`` doesn't mark, never across texts.
 
-    start, end: byte positions; doc: index of the text; hash: 64 bits of the word's bytes, after ``fold``.
+    start, end: byte positions; doc: index of the text; hash: of the word's bytes, after ``fold`` (62 bits, spread over 64).
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE, fold: np.ndarray | None = None):
@@ -95,15 +115,33 @@ class Words:
         self.first_word = np.searchsorted(self.doc, np.arange(self.n_docs + 1))
 
     @staticmethod
-    def _sums(b: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTE[b] * _pow(len(b))[0][: len(b)], out=sums[1:])
-        return sums
+    def _sums(b: np.ndarray) -> list[np.ndarray]:
+        """For each base the sums of the bytes' terms up to each place; a term is below 2^32, so 2^32 of them fit."""
+        out = []
+        for values, (powers, _) in zip(_BYTE, _pow(len(b)), strict=True):
+            sums = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(_fold(values[b] * powers[: len(b)]), out=sums[1:])
+            out.append(sums)
+        return out
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the bytes of each span, the same wherever the span stands."""
-        inverse = _pow(len(self.bytes))[1]
-        return mix((self.sums[end] - self.sums[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        one, two = (_residue(_residue(sums[end] - sums[start]) * inverse[start]) for sums, (_, inverse) in zip(self.sums, _pow(len(self.bytes)), strict=True))
+        return mix((one << _BITS | two) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def same_bytes(self, start: np.ndarray, other: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the spans of one length at ``start`` and at ``other`` have the same bytes."""
+        out = np.ones(len(start), bool)
+        step = np.cumsum(length)
+        lo = 0
+        while lo < len(start):  # some bytes of spans at a time
+            hi = max(lo + 1, int(np.searchsorted(step, (step[lo - 1] if lo else 0) + SLICE, "right")))
+            n = length[lo:hi]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            differs = self.bytes[np.repeat(start[lo:hi], n) + place] != self.bytes[np.repeat(other[lo:hi], n) + place]
+            out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), n), weights=differs, minlength=hi - lo) == 0
+            lo = hi
+        return out
 
     def count(self, marked: np.ndarray) -> np.ndarray:
         """For each text, how many of its bytes are marked."""
