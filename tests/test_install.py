@@ -1,11 +1,14 @@
 import io
+import urllib.error
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from weftline import __main__ as cli
 from weftline.operators import ini, makefile, packaging, release
 from weftline.plans import commands
 from weftline.sources import sink
+from weftline.sources.lines import require, with_missing
 
 TEXTS = "path string, text string"
 
@@ -155,7 +158,66 @@ def test_paths(tmp_path):
     for bad, kind in ((" ", ValueError), ("/etc/passwd", ValueError), ("../x", ValueError), ("none", FileNotFoundError)):
         with pytest.raises(kind):
             sink.safe_resolve(bad, tmp_path)
-    assert sink.from_environment({"v": "VERSION"}, {"WEFTLINE_VERSION": "1"}) == {"v": "1"}
+
+
+def test_arguments():
+    env = {"WEFTLINE_VERSION": "2", "WEFTLINE_STYLE": " a, ,b ", "WEFTLINE_RELEASE_TAG": "t", "WEFTLINE_INI_STYLES_PATH": "x"}
+    z = cli.arguments(["zip", "--vocabulary", "v", "--force"], env)
+    assert (z.archive_version, z.style_env, z.vocabulary, z.ini_styles_path, z.force, z.project_root) == ("2", ["a", "b"], "v", "x", True, ".")
+    assert cli.arguments(["zip", "--style", "s", "--style", "t", "--archive-version", "3"], env).style == ["s", "t"]
+    u = cli.arguments(["update-tengo-map", "--source", "l", "--dest", "d::m", "--type", "=n"], {})
+    assert (u.source, u.dest, u.type) == ("l", "d::m", "=n") and cli.arguments(["update-tengo-map", "l", "d"], {}).type == "true"
+    i = cli.arguments(["install", "o/r", "--release-version", "1"], env)
+    assert (i.repo, i.release_version, i.tag, i.vale_ini) == ("o/r", "1", "t", ".vale.ini")
+    for bad in (["update-tengo-map", "l"], ["install"], ["nothing"], []):
+        with pytest.raises(SystemExit):
+            cli.arguments(bad, {})
+
+
+def test_command_line(spark, project):
+    run = lambda *argv: cli.run(spark, cli.arguments([*argv, "--project-root", str(project)], {}))
+    assert run("zip", "--archive-version", "1.2") == (0, str(project / "dist/mine-1.2.zip"))
+    (project / "a list.txt").write_text("x=1\n")
+    (project / "s.tengo").write_text("m := {\n}\n")
+    assert run("update-tengo-map", "a list.txt", "s.tengo::m", "--type", "=n") == (0, "1 entries provided, 1 updated")
+    assert run("update-tengo-map", "a list.txt", "s.tengo::none") == (1, "Could not find map 'none' in Tengo script.")
+    assert run("sync-acronyms")[0] == 1
+    script = project / commands.ACRONYM_SCRIPT
+    script.parent.mkdir(parents=True)
+    script.write_text("allow := {\n}\n")
+    (project / ".config").mkdir()
+    (project / commands.ACRONYM_LIST).write_text("ab\n")
+    assert run("sync-acronyms") == (0, f"Updated 1 acronyms in {commands.ACRONYM_SCRIPT}.")
+
+
+def test_network_messages():
+    def fails(error):
+        def opener(*_, **__):
+            raise error
+
+        return opener
+
+    http, net = urllib.error.HTTPError("u", 404, "Not Found", {}, None), urllib.error.URLError("no route")
+    for fetch, error, said in ((release.fetch_latest, http, "Failed to read latest release for o/r: Not Found"), (release.fetch_latest, net, "Network error talking to GitHub releases for o/r: no route"), (release.fetch_archive, http, "Failed to download archive https://o/r: Not Found"), (release.fetch_archive, net, "Network error downloading https://o/r: no route")):
+        with pytest.raises(RuntimeError, match=said):
+            fetch("https://o/r" if fetch is release.fetch_archive else "o/r", opener=fails(error))
+
+
+def test_many_maps_in_one_job(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"l{i}.txt").write_text(f"a={i}\nb=1\n")
+        (tmp_path / f"s{i}.tengo").write_text('m := {\n  "a": 1,\n}\n')
+    got = commands.update_maps(spark, [(f"l{i}.txt", f"s{i}.tengo::m") for i in range(3)], tmp_path, "=n").collect()
+    assert sorted((r["path"][-7:], r["provided"], r["updated"]) for r in got) == [("0.tengo", 2, 2), ("1.tengo", 2, 1), ("2.tengo", 2, 2)]
+    assert (tmp_path / "s2.tengo").read_text() == 'm := {\n  "a": 2,\n  "b": 1,\n}\n'
+
+
+def test_missing_files_are_named(spark):
+    requests = spark.createDataFrame([("a",), ("b",)], "path string")
+    files = spark.createDataFrame([("a", "x")], TEXTS)
+    assert {tuple(r) for r in with_missing(requests, files).collect()} == {("a", "x", False), ("b", None, True)}
+    with pytest.raises(FileNotFoundError, match="b"):
+        require(requests, files)
 
 
 def test_vocabulary_and_ini_text(spark):

@@ -11,16 +11,16 @@ from weftline.sources.lines import explode_lines, rstrip, strip
 ROOT_ORDER = ["Packages", "MinAlertLevel", "Vocab"]
 SECTION_ORDER = ["docs/**/*.{md,markdown,mdx}", "AGENTS.md", "*.{rs,ts,js,sh,py}", "README.md"]
 FOOTNOTES = r"(?m)^\[\^\d+\]:[^\n]*(?:\n[ \t]+[^\n]*)*"
-#: (section, key, value); $ stands for the style's name. An empty value is FOOTNOTES.
+#: (section, key, value); $ stands for the style's name, but in FOOTNOTES.
 REQUIRED = [
-    (0, "BasedOnStyles", "$"),
-    (0, "BlockIgnores", ""),
-    (1, "BasedOnStyles", "$"),
-    (2, "BasedOnStyles", "$"),
-    (2, "$.RustNoRun", "NO"),
-    (2, "$.Acronyms", "NO"),
-    (3, "BasedOnStyles", "$"),
-    (3, "$.Pronouns", "NO"),
+    ("docs/**/*.{md,markdown,mdx}", "BasedOnStyles", "$"),
+    ("docs/**/*.{md,markdown,mdx}", "BlockIgnores", FOOTNOTES),
+    ("AGENTS.md", "BasedOnStyles", "$"),
+    ("*.{rs,ts,js,sh,py}", "BasedOnStyles", "$"),
+    ("*.{rs,ts,js,sh,py}", "$.RustNoRun", "NO"),
+    ("*.{rs,ts,js,sh,py}", "$.Acronyms", "NO"),
+    ("README.md", "BasedOnStyles", "$"),
+    ("README.md", "$.Pronouns", "NO"),
 ]
 
 
@@ -49,7 +49,7 @@ def required_options(requests: DataFrame) -> DataFrame:
     """(path, section, key, req_ord, value) from (path, packages_url, style_name, vocab_name, min_alert_level)."""
     root = F.array(*[F.struct(F.lit(None).cast("string").alias("section"), F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in zip(ROOT_ORDER, ("packages_url", "min_alert_level", "vocab_name"), strict=True)])
     filled = lambda t: F.replace(F.lit(t), F.lit("$"), F.col("style_name"))
-    sections = F.array(*[F.struct(F.lit(SECTION_ORDER[k]).alias("section"), filled(key).alias("key"), (filled(v) if v else F.lit(FOOTNOTES)).alias("value")) for k, key, v in REQUIRED])
+    sections = F.array(*[F.struct(F.lit(section).alias("section"), filled(key).alias("key"), (F.lit(v) if v == FOOTNOTES else filled(v)).alias("value")) for section, key, v in REQUIRED])
     rows = requests.select("path", F.posexplode(F.concat(root, sections)).alias("req_ord", "x"))
     return rows.select("path", "x.section", "x.key", "req_ord", "x.value")
 

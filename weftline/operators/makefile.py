@@ -1,80 +1,84 @@
-"""Makefiles: a variable, a phony target and a recipe, put in where they are missing."""
+"""Makefiles: a variable, a phony target and a recipe, put in where they are missing.
+
+A Makefile is one row with its lines as an array, so every step is an expression within the row: nothing is shuffled or joined.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.allowlist import run_after
-from weftline.sources.lines import SPACE, explode_lines, rstrip, strip
+from weftline.sources.lines import SPACE, rstrip, split_lines, strip
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _first(lines: Column, test) -> Column:  # noqa: ANN001
+    """The place, from 1, of the first line for which ``test`` holds; 0 if there is none."""
+    return F.coalesce(F.array_position(F.transform(lines, test), True), F.lit(0)).cast("int")
+
+
+def _run(lines: Column, test) -> Column:  # noqa: ANN001
+    """How many lines from the first on have what ``test`` says."""
+    stop = _first(lines, lambda x: ~test(x))
+    return F.when(stop > 0, stop - 1).otherwise(F.size(lines))
+
+
+def _from(lines: Column, start: Column) -> Column:
+    """The lines from a place, counted from 1, on."""
+    return F.slice(lines, start, F.greatest(F.size(lines) - start + 1, F.lit(0)))
 
 
 def build_recipe(steps: Column) -> Column:
     """The recipe's lines, with the commands of ``steps`` between the first and the last."""
     tab = lambda s: F.concat(F.lit("\t"), s)
-    return F.concat(F.array(F.lit("vale: $(VALE) ## Check prose"), F.lit("\t$(VALE) sync")), F.transform(F.coalesce(steps, F.array().cast("array<string>")), tab), F.array(F.lit("\t$(VALE) --no-global .")))
-
-
-def _prepended(lines: DataFrame, missing: DataFrame, line: str, order: int) -> DataFrame:
-    """Rows that put ``line``, and a blank line if there are others, above all lines of the paths in ``missing``."""
-    any_line = lines.select("path").distinct().withColumn("_some", F.lit(True))
-    own = missing.join(any_line, "path", "left")
-    new = F.when(F.col("_some"), F.array(F.lit(line), F.lit(""))).otherwise(F.array(F.lit(line)))
-    return own.select("path", F.lit(-1).alias("k1"), F.lit(-order).alias("k2"), F.posexplode(new).alias("k3", "line"))
+    return F.concat(F.array(F.lit("vale: $(VALE) ## Check prose"), F.lit("\t$(VALE) sync")), F.transform(F.coalesce(steps, _none()), tab), F.array(F.lit("\t$(VALE) --no-global .")))
 
 
-def ensure_variable(paths: DataFrame, lines: DataFrame, key: str, assignment: str) -> DataFrame:
-    """``lines`` (path, k1, k2, k3, line) with the assignment above them where no line defines ``key``."""
-    have = lines.where(F.col("line").rlike(rf"^\Q{key}\E{SPACE}*[?:]?=")).select("path").distinct()
-    return lines.unionByName(_prepended(lines, paths.join(have, "path", "left_anti"), assignment, 1))
+def _above(lines: Column, line: str) -> Column:
+    """``line``, and a blank line if there are others, above all."""
+    return F.concat(F.when(F.size(lines) > 0, F.array(F.lit(line), F.lit(""))).otherwise(F.array(F.lit(line))), lines)
 
 
-def ensure_phony(paths: DataFrame, lines: DataFrame, target: str) -> DataFrame:
-    """``lines`` with the target on the first .PHONY line of each path, or on a new one above all."""
-    place = F.struct("k1", "k2", "k3")
-    first = lines.where(strip(F.col("line")).startswith(".PHONY")).groupBy("path").agg(F.min(place).alias("at"))
-    words = F.split(strip(F.col("line")), f"{SPACE}+")
-    marked = lines.join(first, "path", "left")
-    added = F.concat(rstrip(F.col("line")), F.lit(f" {target}"))
-    line = F.when((place == F.col("at")) & ~F.array_contains(words, target), added).otherwise(F.col("line"))
-    new = _prepended(lines, paths.join(first, "path", "left_anti"), f".PHONY: {target}", 2)
-    return marked.select("path", "k1", "k2", "k3", line.alias("line")).unionByName(new)
+def ensure_variable(files: DataFrame, key: str, assignment: str) -> DataFrame:
+    """``files`` (path, lines, ...) with the assignment above the lines where none defines ``key``."""
+    have = F.exists("lines", lambda x: x.rlike(rf"^\Q{key}\E{SPACE}*[?:]?="))
+    return files.withColumn("lines", F.when(have, F.col("lines")).otherwise(_above(F.col("lines"), assignment)))
 
 
-def target_bounds(lines: DataFrame, header: str) -> DataFrame:
-    """(path, start, end) over line numbers: the first line that begins with header, its tab lines, and then its blank lines."""
-    starts = lines.where(F.col("line").startswith(header)).groupBy("path").agg(F.min("line_no").alias("start"))
-    tabs = run_after(lines, starts, F.col("line").startswith("\t") | F.lit(False), one_blank=False)
-    after = lines.join(tabs, "path").where("line_no >= end")
-    stop = after.groupBy("path", "start", "end").agg(F.min(F.when(strip(F.col("line")) != "", F.col("line_no"))).alias("stop"), F.max("line_no").alias("last"))
-    ends = stop.select("path", F.coalesce("stop", F.col("last") + 1).alias("_end"))
-    return tabs.join(ends, "path", "left").select("path", "start", F.coalesce("_end", "end").alias("end"))
+def ensure_phony(files: DataFrame, target: str) -> DataFrame:
+    """``files`` with the target on the first .PHONY line, or on a new one above all."""
+    rows = files.withColumn("_at", _first(F.col("lines"), lambda x: strip(x).startswith(".PHONY")))
+    words = lambda x: F.split(strip(x), f"{SPACE}+")
+    added = F.transform("lines", lambda x, i: F.when((i + 1 == F.col("_at")) & ~F.array_contains(words(x), target), F.concat(rstrip(x), F.lit(f" {target}"))).otherwise(x))
+    return rows.withColumn("lines", F.when(F.col("_at") > 0, added).otherwise(_above(F.col("lines"), f".PHONY: {target}"))).drop("_at")
 
 
-def replace_target(paths: DataFrame, lines: DataFrame, recipes: DataFrame, header: str = "vale:") -> DataFrame:
-    """``lines`` with the recipe (path, recipe) in the target's place, or after all lines with a blank line between."""
-    bounds = target_bounds(lines, header)
-    kept = lines.join(bounds, "path", "left").where("start is null or line_no < start or line_no >= end").select("path", F.col("line_no").alias("k1"), F.lit(1).alias("k2"), F.lit(0).alias("k3"), "line")
-    last = lines.groupBy("path").agg(F.max_by("line", "line_no").alias("last_line"), F.max("line_no").alias("last_no"))
-    own = recipes.join(bounds, "path", "left").join(last, "path", "left")
-    gap = F.col("start").isNull() & (strip(F.col("last_line")) != "")
-    new = F.when(gap, F.concat(F.array(F.lit("")), F.col("recipe"))).otherwise(F.col("recipe"))
-    at = F.coalesce("start", F.col("last_no") + 1, F.lit(0))
-    return kept.unionByName(own.select("path", at.alias("k1"), F.lit(0).alias("k2"), F.posexplode(new).alias("k3", "line")))
+def target_bounds(files: DataFrame, header: str) -> DataFrame:
+    """``files`` with start and end, places counted from 0: the first line that begins with header, its tab lines, and then its blank lines; null if there is none."""
+    rows = files.withColumn("start", _first(F.col("lines"), lambda x: x.startswith(header)))
+    rows = rows.withColumn("_after", F.when(F.col("start") > 0, _from(F.col("lines"), F.col("start") + 1)).otherwise(_none()))
+    rows = rows.withColumn("_tabs", _run(F.col("_after"), lambda x: x.startswith("\t")))
+    rows = rows.withColumn("_blank", _run(_from(F.col("_after"), F.col("_tabs") + 1), lambda x: strip(x) == ""))
+    end = F.when(F.col("start") > 0, F.col("start") + F.col("_tabs") + F.col("_blank"))
+    return rows.withColumn("end", end).withColumn("start", F.when(F.col("start") > 0, F.col("start") - 1)).drop("_after", "_tabs", "_blank")
 
 
-def renumber(lines: DataFrame) -> DataFrame:
-    """(path, line_no, line) of lines with order keys, numbered anew from 0."""
-    ordered = F.array_sort(F.collect_list(F.struct("k1", "k2", "k3", "line")))
-    return lines.groupBy("path").agg(ordered.alias("x")).select("path", F.posexplode("x").alias("line_no", "x")).select("path", "line_no", "x.line")
+def replace_target(files: DataFrame, recipe: Column, header: str = "vale:") -> DataFrame:
+    """``files`` with the recipe in the target's place, or after all lines with a blank line between."""
+    lines = F.col("lines")
+    gap = strip(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit(""))) != ""
+    after = F.concat(lines, F.when(gap, F.array(F.lit(""))).otherwise(_none()), F.col("_recipe"))
+    inside = F.concat(F.slice(lines, F.lit(1), F.col("start")), F.col("_recipe"), _from(lines, F.col("end") + 1))
+    rows = target_bounds(files, header).withColumn("_recipe", recipe)
+    return rows.withColumn("lines", F.when(F.col("start").isNull(), after).otherwise(inside)).drop("start", "end", "_recipe")
 
 
 def update_makefiles(requests: DataFrame, files: DataFrame) -> DataFrame:
     """(path, text) for each request (path, steps): variable, phony target and recipe, in that order; a missing file is empty."""
-    paths = requests.select("path").distinct()
-    lines = explode_lines(files.join(paths, "path", "left_semi"))
-    keyed = lines.select("path", F.col("line_no").alias("k1"), F.lit(1).alias("k2"), F.lit(0).alias("k3"), "line")
-    keyed = ensure_phony(paths, ensure_variable(paths, keyed, "VALE", "VALE ?= vale"), "vale")
-    done = replace_target(paths, renumber(keyed), requests.select("path", build_recipe(F.col("steps")).alias("recipe")))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k1", "k2", "k3", "line"))), lambda x: x["line"])
-    return done.groupBy("path").agg(F.concat(rstrip(F.array_join(ordered, "\n")), F.lit("\n")).alias("text"))
+    rows = requests.join(files.select("path", "text"), "path", "left").withColumn("lines", split_lines(F.coalesce("text", F.lit(""))))
+    rows = ensure_phony(ensure_variable(rows, "VALE", "VALE ?= vale"), "vale")
+    rows = replace_target(rows, build_recipe(F.col("steps")))
+    return rows.select("path", F.concat(rstrip(F.array_join("lines", "\n")), F.lit("\n")).alias("text"))

@@ -18,7 +18,7 @@ ENTRY = rf'^({SPACE}*)"((?:[^"\\]|\\.)+)"{SPACE}*:{SPACE}*(.*),({SPACE}*//.*)?{S
 
 def header_lines(lines: DataFrame, name: Column) -> DataFrame:
     """(path, start, map_indent): the first line that opens the map ``name``, alone on its line."""
-    quoted = F.concat(F.lit(rf"^{SPACE}*\Q"), F.regexp_replace(name, r"\\E", r"\\\\E"), F.lit(rf"\E{SPACE}*:={SPACE}*\{{{SPACE}*$"))
+    quoted = F.concat(F.lit(rf"^{SPACE}*"), F.regexp_replace(name, r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(rf"{SPACE}*:={SPACE}*\{{{SPACE}*$"))
     hit = lines.where(F.regexp_like("line", quoted))
     return hit.groupBy("path").agg(F.min("line_no").alias("start"), F.min_by(F.regexp_extract("line", f"^({SPACE}*)", 1), "line_no").alias("map_indent"))
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions import values as V
 from weftline.operators.release import MANIFEST_NAME
 
 MEMBERS = "project string, ord long, arcname string, content binary"
@@ -99,7 +98,3 @@ def package_styles(requests: DataFrame, files: DataFrame, fail: bool = True) ->
     if fail and (worst := members.agg(F.min("error")).first()[0]) is not None:
         raise (ValueError if "relative" in worst else RuntimeError if worst.startswith("No ") else FileNotFoundError)(worst)
     return members.where("error is null").drop("error").groupBy("project").applyInPandas(_zip, "project string, archive_name string, archive binary")
-
-
-def explicit_from_text(c: Column) -> Column:
-    return V.split_list(c)

@@ -1,4 +1,7 @@
-"""Releases and install manifests: which version, tag and archive, and what the archive's manifest asks for."""
+"""Releases and install manifests: which version, tag and archive, and what the archive's manifest asks for.
+
+The texts of errors and the addresses are fixed values.
+"""
 
 from __future__ import annotations
 
@@ -68,8 +71,10 @@ def fetch_latest(repo: str, opener=urllib.request.urlopen, token: str | None = N
     try:
         with opener(urllib.request.Request(f"https://api.github.com/repos/{repo}/releases/latest", headers=headers), timeout=LATEST_TIMEOUT) as answer:
             return answer.read().decode("utf-8")
-    except urllib.error.URLError as e:
+    except urllib.error.HTTPError as e:
         raise RuntimeError(f"Failed to read latest release for {repo}: {e.reason}") from e
+    except urllib.error.URLError as e:
+        raise RuntimeError(f"Network error talking to GitHub releases for {repo}: {e.reason}") from e
 
 
 def fetch_archive(url: str, opener=urllib.request.urlopen) -> bytes:  # noqa: ANN001
@@ -77,8 +82,10 @@ def fetch_archive(url: str, opener=urllib.request.urlopen) -> bytes:  # noqa: AN
     try:
         with opener(urllib.request.Request(url, headers={"User-Agent": "weftline"}), timeout=ARCHIVE_TIMEOUT) as answer:
             return answer.read()
-    except urllib.error.URLError as e:
+    except urllib.error.HTTPError as e:
         raise RuntimeError(f"Failed to download archive {url}: {e.reason}") from e
+    except urllib.error.URLError as e:
+        raise RuntimeError(f"Network error downloading {url}: {e.reason}") from e
 
 
 def _toml(raw: bytes | None) -> dict | None:
@@ -158,11 +165,6 @@ def read_manifests(requests: DataFrame, fail: bool = True) -> DataFrame:
     return r
 
 
-def install_message(result: DataFrame) -> DataFrame:
-    """``result`` (manifest, version, repo, ini_path, makefile_path) with the column message."""
-    return result.withColumn("message", F.format_string("Installed %s %s from %s into %s and %s", F.col("manifest.style_name"), F.col("version"), F.col("repo"), F.col("ini_path"), F.col("makefile_path")))
-
-
 def skip_download(environment: dict[str, str] | None = None) -> bool:
     return bool((os.environ if environment is None else environment).get(f"{TOOL.upper()}_SKIP_MANIFEST_DOWNLOAD"))
 

@@ -61,9 +61,3 @@ def write_archives(result: DataFrame, output: str | Path, force: bool = False) -
     for row in result.select("archive_name", "archive").toLocalIterator():
         replace(output / row["archive_name"], bytes(row["archive"]))
     return [output / n for n in names]
-
-
-def from_environment(names: dict[str, str], environment: dict[str, str] | None = None, prefix: str = "WEFTLINE_") -> dict[str, str]:
-    """Options that the environment gives: {option: suffix of its variable}."""
-    env = os.environ if environment is None else environment
-    return {k: env[prefix + v] for k, v in names.items() if prefix + v in env}
