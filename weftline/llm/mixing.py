@@ -15,8 +15,8 @@ MOST = 3
 BLOCKS = 65536
 #: Shards that get quotas of their own.
 SHARDS = 16
-#: Cells by hash in which the documents of a source are laid out.
-CELLS = 256
+#: Cells by hash in which the documents of a source are laid out, and the parts of each, which follow one another in its order.
+CELLS, PARTS = 256, 16
 SEED = "mix-1"
 
 
@@ -82,11 +82,16 @@ def _laid(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: t
     """Rows with their seeded order, the words of each source's cells, and the sources' targets."""
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
     rows = stash(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("skey"), (F.col(size_col) if size_col else word_count(F.col(text_col))).alias("size"), *carry), "mix-rows")
-    rows = rows.withColumn("draw", _draw(F.col("doc_id"))).withColumn("cell", F.pmod("draw", F.lit(CELLS)))
+    rows = rows.withColumn("draw", _draw(F.col("doc_id"))).withColumn("cell", F.pmod("draw", F.lit(CELLS)) * PARTS + F.floor(F.col("draw") / ((1 << 32) // PARTS)))
     cells = rows.groupBy("skey", "cell").agg(F.sum("size").alias("cell_size"))
     return rows, cells, source_targets(cells.groupBy("skey").agg(F.sum("cell_size").alias("source_size")))
 
 
+def _given(table: DataFrame, sources: DataFrame) -> DataFrame:
+    """``table``, of a row for each source and each block, broadcast if there are no more sources than blocks."""
+    return F.broadcast(table) if sources.count() <= BLOCKS else table
+
+
 def _ends(rows: DataFrame, cells: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """The rows with the column end: the words of their source up to and with their own, in seeded order."""
     start = F.coalesce(F.sum("cell_size").over(Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -108,7 +113,8 @@ def whole(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows, cells, sources = _laid(docs, id_col, text_col, source_col, carry, size_col)
     s = sources.select("skey", "source_size", "target", (F.col("source_size") * MOST).alias("most"), F.col("total").cast("long").alias("seats"), F.lit(0).alias("one"))
     s = apportion(s, "seats", "target", "most", ["one"]).select("skey", "source_size", "target", "quota")
-    d = _ends(rows, cells, carry).join(F.broadcast(stash(s, "mix-sources")), "skey")
+    s = stash(s, "mix-sources")
+    d = _ends(rows, cells, carry).join(_given(s, s), "skey")
     rounds = F.floor(F.col("quota") / F.col("source_size"))
     middle = 2 * F.col("end") - F.col("size")
     copies = rounds + (middle <= 2 * (F.col("quota") - rounds * F.col("source_size"))).cast("long")
@@ -128,8 +134,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source like others. Null or repeated doc_ids are rows like others. Extra columns are ignored. If nothing has words,
     targets are 0. An empty table gives an empty one. ``size_col`` names a column that has the words counted already.
 
-    Tables that are broadcast or pass one window hold at most BLOCKS rows and one for each source. A hot source is laid
-    out in CELLS parts.
+    Blocks are broadcast if there are at most BLOCKS sources, so 2 * BLOCKS rows at most; else they are joined by source and block.
+    A window over all sources has one row of each. A hot source is laid out in CELLS * PARTS parts.
     """
     rows, cells, sources = _laid(docs, id_col, text_col, source_col, carry, size_col)
     sources = stash(sources.withColumn("block", F.greatest(F.ceil(F.col("total") / BLOCKS), F.lit(1)).cast("long")), "mix-sources")
@@ -157,7 +163,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     d = d.withColumn("first", F.floor((F.col("end") - F.col("size")) / F.col("block"))).withColumn("last", F.floor((F.col("end") - 1) / F.col("block")))
 
     def at(side: str) -> DataFrame:
-        return F.broadcast(b.select("skey", F.col("b").alias(side), F.col("times").alias(f"{side}_times"), F.col("before").alias(f"{side}_before")))
+        return _given(b.select("skey", F.col("b").alias(side), F.col("times").alias(f"{side}_times"), F.col("before").alias(f"{side}_before")), sources)
 
     d = d.join(at("first"), ["skey", "first"], "left").join(at("last"), ["skey", "last"], "left")
     upto_end = F.col("last_before") + F.col("last_times") * (F.col("end") - F.col("last") * F.col("block"))

@@ -21,12 +21,10 @@ from .textvec import Words, slices, utf8
 #: The tokenizer's file, for public_tokenizers.path().
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Pieces that are packed together, about; a group leaves one sequence underfull, or none.
-GROUP = 20_000
+#: Pieces that are packed together, about.
+GROUP = 8192
 #: Words, and parts of words, whose ids a worker keeps; when there are more, it starts anew.
 WORDS, PARTS = 1_000_000, 100_000
-#: The local search tries that many of the emptiest sequences against that many of the fullest that have room.
-GIVERS, TAKERS = 256, 64
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 9, 10]] = True
@@ -41,7 +39,7 @@ class Encoder:
     tokenizer's pattern never joins across white space, its normalisation does not compose across it, and it drops it.
     Letters, in lower case, and the signs after them are encoded apart where a word has no other parts: the pattern ends
     a token between them (not at an apostrophe), and a word in composed form is composed in its parts. Words are looked up by
-    64 bits of their bytes.
+    a hash, and their bytes compared with those that the ids are of; texts with a word of which they differ are encoded whole.
     """
 
     def __init__(self, path: str | None):
@@ -60,6 +58,7 @@ class Encoder:
         """No words: their sorted hashes with their rows, and each row's place in the ids of all rows, end to end."""
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.length, self.ids = (np.zeros(0, k) for k in (np.int64, np.int64, np.uint32))
+        self.words: list[bytes] = []
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -93,18 +92,32 @@ class Encoder:
         unique, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, unique)
         new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != unique) if len(self.keys) else np.arange(len(unique))
+        raw = w.bytes.tobytes()
         if len(new):
-            raw, own = w.bytes.tobytes(), first[new]
+            own = first[new]
             known = len(self.start)
-            self._learn([raw[a:b].decode() for a, b in zip(w.start[own].tolist(), w.end[own].tolist(), strict=True)])
+            fresh = [raw[a:b] for a, b in zip(w.start[own].tolist(), w.end[own].tolist(), strict=True)]
+            self._learn([x.decode() for x in fresh])
+            self.words += fresh
             self.keys = np.insert(self.keys, at[new], unique[new])
             self.rows = np.insert(self.rows, at[new], np.arange(known, known + len(new)))
             at = np.searchsorted(self.keys, unique)
+        length = w.end - w.start
+        same = (length == length[first][inverse]) & w.same_bytes(w.start, np.minimum(w.start[first][inverse], len(raw) - length), length)
+        kept = [self.words[r] == raw[a:b] for r, a, b in zip(self.rows[at].tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+        wrong = np.unique(w.doc[~(same & np.array(kept, bool)[inverse])])
         rows = self.rows[at][inverse]
         length = self.length[rows]
         ends = np.concatenate(([0], np.cumsum(length)))
         flat = self.ids[np.repeat(self.start[rows] - ends[:-1], length) + np.arange(ends[-1])]
-        return flat, ends[w.first_word]
+        bounds = ends[w.first_word]
+        if len(wrong):  # two words of one hash
+            lists = np.split(flat, bounds[1:-1])
+            for d in wrong.tolist():
+                text = raw[w.offsets[d] : w.offsets[d + 1]].decode()
+                lists[d] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            flat, bounds = np.concatenate(lists), np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        return flat, bounds
 
 
 def pieces(path: str | None, capacity: int):
@@ -155,74 +168,114 @@ def pack(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Local search: a document moves, or is exchanged for one or for two of another bin, if squared fill grows.
+    """Local search: a document moves, or is exchanged for one or for two of another bin, so that squared fill grows most.
 
-    Only bins that aren't full take part, the emptiest giving first. Every step raises the sum of squared fills, which
-    is bounded, so it ends; a bin that has become empty is dropped. It stops after a pass in which nothing changes, or
-    when there are no more bins than the sum of the lengths needs.
+    All bins that aren't full take part: each gives, the emptiest first, to any that is as full as it, as long as
+    squared fill grows. Every step raises the sum of squared fills, which is bounded, so it ends: after a pass over all bins in which
+    nothing changes, or when there are no more bins than the sum of the lengths needs. A bin that has become empty is dropped.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
+    fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+    least = -(-int(fill.sum()) // capacity)
     changed = True
-    while changed and sum(1 for x in fill if x) > least:
+    while changed and np.count_nonzero(fill) > least:
         changed = False
-        open_bins = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        for a in open_bins[:GIVERS]:
-            for b in reversed(open_bins[-TAKERS:]):
-                if a == b or not bins[a] or fill[b] < fill[a] or fill[b] == capacity:
-                    continue
-                best = _step([lengths[i] for i in bins[a]], [lengths[i] for i in bins[b]], capacity - fill[b])
-                if best is None:
-                    continue
-                out, back = best
-                moved, returned = [bins[a][i] for i in out], [bins[b][i] for i in back]
-                bins[a] = [x for i, x in enumerate(bins[a]) if i not in out] + returned
-                bins[b] = [x for i, x in enumerate(bins[b]) if i not in back] + moved
-                gain = sum(lengths[i] for i in moved) - sum(lengths[i] for i in returned)
+        takers = _Takers(bins, lengths, fill, capacity)
+        for a in np.argsort(fill, kind="stable").tolist():
+            while 0 < fill[a] < capacity and (step := takers.best(a)) is not None:
+                out, b, back = step
+                gain = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
+                bins[a] = [x for x in bins[a] if x not in out] + back
+                bins[b] = [x for x in bins[b] if x not in back] + out
                 fill[a] -= gain
                 fill[b] += gain
+                takers.put(a)
+                takers.put(b)
                 changed = True
+            if np.count_nonzero(fill) <= least:
+                break
     return [b for b in bins if b]
 
 
-def _step(giver: list[int], taker: list[int], room: int) -> tuple[set[int], set[int]] | None:
-    """What the fuller bin gains most by, within its room: a move, one for one, two for one or one for two."""
-    best, found = 0, None
-    ordered = sorted((n, i) for i, n in enumerate(giver))
-    sizes = [n for n, _ in ordered]
-
-    def largest(most: int) -> tuple[int, int] | None:
-        at = bisect.bisect_right(sizes, most) - 1
-        return ordered[at] if at >= 0 else None
-
-    if (x := largest(room)) and x[0] > best:
-        best, found = x[0], ({x[1]}, set())
-    for j, m in enumerate(taker):
-        if best == room:
-            break
-        if (x := largest(room + m)) and x[0] - m > best:
-            best, found = x[0] - m, ({x[1]}, {j})
-        for n, i in ordered:  # two for one
-            if (y := largest(room + m - n)) and y[1] != i and n + y[0] - m > best:
-                best, found = n + y[0] - m, ({i, y[1]}, {j})
-        for k in range(j):  # one for two
-            if (x := largest(room + m + taker[k])) and x[0] - m - taker[k] > best:
-                best, found = x[0] - m - taker[k], ({x[1]}, {j, k})
-    return found
-
-
-def _packed(capacity: int):
+class _Takers:
+    """What the open bins can give back: nothing, one document or two, a row each, as arrays; rows of a bin that has changed are replaced."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], fill: np.ndarray, capacity: int):
+        self.bins, self.lengths, self.fill, self.capacity = bins, lengths, fill, capacity
+        self.rows: list[tuple[int, int, int, int]] = []
+        self.pending: list[int] = []
+        self._take(b for b in range(len(bins)) if 0 < fill[b] < capacity)
+        self._freeze()
+
+    def _take(self, which) -> None:  # noqa: ANN001
+        for b in which:
+            own, seen = self.bins[b], set()
+            options = [(0, -1, -1), *((self.lengths[i], i, -1) for i in own), *((self.lengths[i] + self.lengths[j], i, j) for k, i in enumerate(own) for j in own[:k])]
+            for option in options:
+                if option[0] not in seen:  # of equal lengths one will do
+                    seen.add(option[0])
+                    self.rows.append((b, *option))
+
+    def _freeze(self) -> None:
+        self.owner, self.size, self.first, self.second = np.array(self.rows, np.int64).reshape(-1, 4).T.copy()
+        self.pending = []
+
+    def put(self, b: int) -> None:
+        self.pending.append(b)
+        if len(self.pending) >= 64:
+            self._renew()
+
+    def _renew(self) -> None:
+        stale = set(self.pending)
+        self.rows = [r for r in self.rows if r[0] not in stale]
+        self._take(b for b in sorted(stale) if 0 < self.fill[b] < self.capacity)
+        self._freeze()
+
+    def best(self, a: int) -> tuple[list[int], int, list[int]] | None:
+        """What bin a gives, to which, and what for: the exchange by which squared fill grows most."""
+        own = sorted(self.bins[a], key=lambda i: self.lengths[i])
+        ones = np.array([self.lengths[i] for i in own], np.int64)
+        i, j = np.triu_indices(len(own), 1)
+        twos = ones[i] + ones[j]
+        order = np.argsort(twos, kind="stable")
+        fresh = ~np.isin(self.owner, self.pending) if self.pending else np.ones(len(self.owner), bool)
+        ok = np.flatnonzero(fresh & (self.owner != a) & (self.fill[self.owner] >= self.fill[a]) & (self.fill[self.owner] < self.capacity))
+        top, found = 0, None
+        room = self.capacity - self.fill[self.owner[ok]] + self.size[ok]
+        ahead = self.fill[self.owner[ok]] - self.fill[a]
+        for sizes, two in ((ones, False), (twos[order], True)):
+            if not len(sizes) or not len(ok):
+                continue
+            at = np.searchsorted(sizes, room, "right") - 1
+            gain = np.where(at >= 0, sizes[at] - self.size[ok], 0)
+            if two:  # two for one; not two for none or for two
+                gain = np.where((self.first[ok] >= 0) & (self.second[ok] < 0), gain, 0)
+            grows = np.where(gain > 0, gain * (ahead + gain), 0)
+            k = int(grows.argmax())
+            if grows[k] > top:
+                top, r = int(grows[k]), ok[k]
+                given = [own[i[order[at[k]]]], own[j[order[at[k]]]]] if two else [own[at[k]]]
+                found = given, int(self.owner[r]), [int(x) for x in (self.first[r], self.second[r]) if x >= 0]
+        if found is None and self.pending:
+            self._renew()
+            return self.best(a)
+        return found
+
+
+def _packed(capacity: int, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in whole_groups(batches, ["grp"]):
             length, grp = t.column("length").to_numpy(), t.column("grp").to_numpy()
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+            sequence, offset, room = (np.zeros(len(length), np.int64) for _ in range(3))
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 own = length[lo:hi]
                 for k, members in enumerate(pack(own.tolist(), capacity)):
                     at = np.array(members) + lo
-                    sequence[at] = (grp[lo] << 32) + k
+                    sequence[at] = (turn << 56) + (grp[lo] << 24) + k
                     offset[at] = np.cumsum(length[at]) - length[at]
-            out = t.drop_columns(["grp", "tie"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+                    room[at] = capacity - length[at].sum()
+            out = t.drop_columns(["grp", "tie"])
+            for name, column in (("sequence_id", sequence), ("offset", offset), ("room", room)):
+                out = out.append_column(name, pa.array(column))
             yield from out.combine_chunks().to_batches()
 
     return run
@@ -236,11 +289,26 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None
     doc_ids are documents like others. Extra columns are ignored. An empty table gives an empty one.
 
     Pieces are dealt by a hash of their place in the written table into groups of about GROUP, so that repeated rows
-    spread and a group is bounded; each group is packed by itself.
+    spread and a group is bounded; each group is packed by itself. What then lies in underfull sequences of all groups is
+    dealt and packed again, as long as that halves it and there was more than one group, so that groups leave no sequence each.
     """
     p = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces(tokenizer, capacity), PIECES)
-    p = stash(p, "pieces")
-    groups = max(1, -(-p.count() // GROUP))
-    p = p.withColumn("tie", F.monotonically_increasing_id()).withColumn("grp", F.pmod(F.xxhash64("tie"), F.lit(groups)).cast("long"))
-    p = p.repartition(max(1, min(groups, 4096)), "grp").sortWithinPartitions("grp", "length", "tie")
-    return p.mapInArrow(_packed(capacity), f"{PIECES}, sequence_id long, offset long")
+    p, done, left, turn = stash(p, "pieces"), [], None, 0
+    while True:
+        n = p.count()
+        if left is not None and 2 * n > left:
+            break
+        groups = max(1, -(-n // GROUP))
+        dealt = p.select(*[c.split()[0] for c in PIECES.split(", ")]).withColumn("tie", F.monotonically_increasing_id())
+        dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("tie"), F.lit(groups)).cast("long")).repartition(max(1, min(groups, 4096)), "grp").sortWithinPartitions("grp", "length", "tie")
+        packed = stash(dealt.mapInArrow(_packed(capacity, turn), f"{PIECES}, sequence_id long, offset long, room long"), "packed")
+        if left is not None:  # these were open before
+            done[-1] = done[-1].where("room = 0")
+        done.append(packed)
+        if groups == 1:
+            break
+        p, left, turn = packed.where("room > 0"), n, turn + 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.drop("room")

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import held, lean
 
@@ -411,7 +412,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-_FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
+_FOUND = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted")
 _trained: list[Crf] = []
 
 
@@ -446,8 +447,8 @@ def scan(docs: DataFrame, text_col: str = "text", with_text: bool = True) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, "_pii"])
         own.clear()
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"_pii struct<{_FOUND.replace(' long', ': bigint').replace(' string', ': string')}>"])
-    return lean(docs).select("*").mapInArrow(run, fields)
+    found = T.StructType([T.StructField(k, T.LongType() if k.startswith("n_") else T.StringType()) for k in _FOUND])
+    return lean(docs).select("*").mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_pii", found)]))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

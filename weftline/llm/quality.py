@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import held, lean
 from .textvec import Words, mix, slices, utf8
@@ -215,7 +216,5 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return own.withColumn("_kept", ~F.col("_base_failed") & (F.col("_rule") == 0))
 
 
-def _schema(docs: DataFrame):
-    from pyspark.sql import types as T
-
+def _schema(docs: DataFrame) -> T.StructType:
     return T.StructType([*docs.schema.fields, T.StructField("_stats", T.StructType([T.StructField(k, T.LongType()) for k in STATS]))])

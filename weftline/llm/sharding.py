@@ -4,58 +4,51 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import stash
 
-#: Significant bits that a group's size keeps when groups of nearly one size are scheduled together.
-SIZE_BITS = 10
+#: Groups of one size that are numbered together.
+RANKED = 1 << 16
 #: Cells by hash of which each shard's rows are numbered.
 SLOT_CELLS = 1024
 
 
-def schedule(classes: list[tuple[int, int, int]], shards: int) -> dict[int, list[int]]:
-    """Longest processing time first: {class: how many of its groups each shard takes}.
+def schedule(classes: list[tuple[int, int]], shards: int) -> list[list[int]]:
+    """Longest processing time first: how many groups of each class each shard takes.
 
-    ``classes`` holds (class, groups, bytes). They are taken from the largest mean size to the smallest; each group goes
-    to the least loaded shard, which a heap gives (ties: the lower shard). Of many groups of one class, those are dealt
-    at once that bring every shard below the common level up to it, which is what the heap would do one by one.
+    ``classes`` holds (size, groups), from the largest size to the smallest. Each group goes to the least loaded shard,
+    which a heap gives (ties: the lower shard). A shard comes to the top of the heap at its load, its load and one size, and so on;
+    of more groups than shards all that come up below a level are dealt at once, the level being as high as the groups reach.
+    So the result is the heap's, one by one.
     """
-    load = [0.0] * shards
-    out = {}
-    for c, n, total in sorted(classes, key=lambda x: (-x[2] / x[1], x[0])):
-        mean, take = total / n, [0] * shards
-        while n > 4 * shards:
-            order = sorted(load)
-            for k in range(shards, 0, -1):
-                level = (sum(order[:k]) + n * mean) / k
-                if order[k - 1] <= level:
-                    break
-            more = [max(0, int((level - x) / mean)) if x <= level else 0 for x in load]
-            if not sum(more) or sum(more) > n:
-                break
-            for i, x in enumerate(more):
-                take[i] += x
-                load[i] += x * mean
-            n -= sum(more)
-        heap = [(x, i) for i, x in enumerate(load)]
-        heapq.heapify(heap)
+    heap = [(0, i) for i in range(shards)]
+    out = []
+    for size, n in classes:
+        take = [0] * shards
+        if n > shards:
+            below = lambda level: sum(-(-(level - load) // size) for load, _ in heap if load < level)  # noqa: E731, B023
+            lo, hi = heap[0][0], heap[0][0] + size * n + 1  # groups below lo: none
+            while hi - lo > 1:
+                level = (lo + hi) // 2
+                lo, hi = (level, hi) if below(level) <= n else (lo, level)
+            for k, (load, i) in enumerate(heap):
+                if load < lo:
+                    take[i] = -(-(lo - load) // size)
+                    heap[k] = (load + take[i] * size, i)
+            n -= sum(take)
+            heapq.heapify(heap)
         for _ in range(n):
-            x, i = heap[0]
+            load, i = heap[0]
             take[i] += 1
-            load[i] = x + mean
-            heapq.heapreplace(heap, (load[i], i))
-        out[c] = take
+            heapq.heapreplace(heap, (load + size, i))
+        out.append(take)
     return out
 
 
-def _size_class(size):
-    """The size without its lower bits: exact below 2^SIZE_BITS, within a part in 2^(SIZE_BITS-1) above."""
-    unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(size.cast("double"))) - (SIZE_BITS - 1), F.lit(0)))
-    return (F.floor(size / unit) * unit).cast("long")
-
-
 def lpt_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): every row on a shard, the rows of equal texts on one, bytes near equal.
 
@@ -63,9 +56,8 @@ def lpt_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     are empty texts. Null or repeated doc_ids are rows like others; slots number a shard's rows from 0 without gaps,
     by doc_id within cells of its hash. Extra columns are ignored. An empty table gives an empty one.
 
-    The driver sees one row for each size class: sizes keep SIZE_BITS bits, so there are at most 2^SIZE_BITS and 2^(SIZE_BITS-1)
-    for each further doubling, some 30,000 for groups of up to 2^64 bytes, however many rows there are. A group larger
-    than an equal share of all bytes makes its shard larger, as the groups must stay together.
+    The driver sees one row for each size that a group has. As different sizes add up, d of them take d^2 / 2 bytes at least, so there are at
+    most 14 million for 100 TB. A group larger than an equal share of all bytes makes its shard larger, as groups must stay together.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
@@ -76,20 +68,19 @@ def lpt_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     rows = stash(rows, "shard-rows")
-    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes")).withColumn("class", _size_class(F.col("bytes")))
-    groups = stash(groups, "shard-groups")
-    classes = [tuple(r) for r in groups.groupBy("class").agg(F.count("*"), F.sum("bytes")).collect()]
-    plan = schedule(classes, shards)
-    cumulated = []
-    for c, take in plan.items():
-        at, ends = 0, []
-        for x in take:
-            at += x
-            ends.append(at)
-        cumulated.append((c, ends))
-    plan_df = spark.createDataFrame(cumulated, "class long, ends array<long>")
-    rank = F.row_number().over(Window.partitionBy("class").orderBy("g"))
-    placed = groups.withColumn("rank", rank).join(plan_df, "class").select("g", F.expr("cast(size(filter(ends, e -> e < rank)) as int)").alias("shard"))
+    groups = stash(rows.groupBy("g").agg(F.sum("size").alias("bytes")), "shard-groups")
+    sizes = groups.groupBy("bytes").agg(F.count("*").alias("n")).toArrow().sort_by([("bytes", "descending")])
+    take = np.array(schedule(list(zip(sizes["bytes"].to_pylist(), sizes["n"].to_pylist(), strict=True)), shards), np.int64).reshape(-1, shards)
+    ends = pa.ListArray.from_arrays(np.arange(0, take.size + 1, shards, dtype=np.int32), take.cumsum(1).ravel())
+    plan = pa.table({"bytes": sizes["bytes"], "cells": pa.array(-(-take.sum(1) // RANKED)), "ends": ends})
+    plan = stash(spark.createDataFrame(plan, "bytes long, cells long, ends array<long>"), "shard-plan")
+    # A group's number among those of its size: within a cell by hash, after the cells before.
+    placed = groups.join(plan, "bytes").withColumn("cell", F.pmod(F.xxhash64("g"), F.col("cells")))
+    earlier = Window.partitionBy("bytes").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.where("cells > 1").groupBy("bytes", "cell").count().select("bytes", "cell", F.sum("count").over(earlier).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("bytes", "cell").orderBy("g"))
+    placed = placed.withColumn("rank", rank).join(starts, ["bytes", "cell"], "left").withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
+    placed = placed.select("g", F.expr("cast(size(filter(ends, e -> e < rank)) as int)").alias("shard"))
     # A hot group is one row here and may be a third of the rows there: adaptive execution splits that side of the join.
     dealt = rows.join(placed, "g").withColumn("cell", F.pmod(F.xxhash64("doc_id", "g"), F.lit(SLOT_CELLS)).cast("int"))
     dealt = stash(dealt.drop("g"), "shard-dealt")

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), a temporary one of this driver."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a temporary one of this machine if Spark runs on it alone (tests); else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
@@ -28,6 +32,7 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     ``df`` twice. An empty table comes back empty, with its schema.
     """
     path = f"{shared_dir(df.sparkSession)}/weftline/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -63,8 +68,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every stashed table of the shared folder; call it when no result is read any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/weftline")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete every table stashed by this driver but those that ``keep`` reads; call it when no other result is read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    read = [] if keep is None else keep.inputFiles()
+    for path in list(_written):
+        if not any(path.rpartition("/")[2] in f for f in read):
+            own = jvm.org.apache.hadoop.fs.Path(path)
+            own.getFileSystem(conf).delete(own, True)
+            _written.remove(path)

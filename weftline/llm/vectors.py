@@ -2,9 +2,11 @@
 
 Equal vectors are one class. Classes are dealt to overlapping cluster shards; each shard builds a graph of its members, pruned
 robustly (Subramanya et al., 2019), and a class's adjacency list is the union of its lists in all its shards. Every class is then
-searched in the shards of its nearest centroids: a greedy beam from the shard's medoid, and from the class itself, finds the
+searched in the shards of its nearest centroids: a greedy beam from the shard's medoid finds the
 region, and the search expands over all neighbours within range until no new one comes. Cosines of what is found are
-verified in double precision. Recall is audited against brute force; if it is low, the shards overlap more and the search runs anew.
+verified in double precision. Recall is audited against brute force, over all links and for the mean query; if it is low, the shards
+overlap more and the search runs anew. If it is low still, every class is compared with all of every shard that can hold one within range
+by the triangle inequality of angles (``_exact``), which finds all links.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ SHARD, SAMPLE, CENTROIDS = 512, 16_384, 2048
 #: Rows of one unit of work; a larger shard is split into blocks of half of it, and every two blocks are a unit.
 UNIT = 4096
 #: Neighbours that pruning chooses from and keeps, its slack, the beam, and the hops of the greedy search.
-CANDIDATES, DEGREE, ALPHA, BEAM, HOPS = 32, 24, 1.2, 8, 12
+CANDIDATES, DEGREE, ALPHA, BEAM, HOPS = 32, 24, 1.2, 8, 24
 #: Shards in which a class is searched for.
 PROBES = 2
 #: How far below the threshold the search still expands.
@@ -155,7 +157,7 @@ def range_search(x: np.ndarray, start: np.ndarray, flat: np.ndarray, queries: np
     m, f = len(x), x.astype(np.float32)
     medoid = int((f @ f.mean(0)).argmax())
     degree = np.diff(start)
-    seen_q, seen_y = [queries], [queries]  # a query's own place is an entry besides the medoid
+    seen_q, seen_y = [queries[:0]], [queries[:0]]
     for lo in range(0, len(queries), 512):
         q = queries[lo : lo + 512]
         b = len(q)
@@ -276,9 +278,9 @@ def _audit(batches_of: np.ndarray, query_ids: np.ndarray, dim: int, least: float
     return run
 
 
-def audit_recall(classes: DataFrame, found: DataFrame, least: float = 0.95, queries: int = AUDIT) -> tuple[int, int]:
-    """(links that are there, links found) of a bounded sample of classes, against brute force over all of them."""
-    true = got = 0
+def audit_recall(classes: DataFrame, found: DataFrame, least: float = 0.95, queries: int = AUDIT) -> float:
+    """Recall on a bounded sample of classes, against brute force over all of them: the smaller of that of all links and the mean of the classes that have any."""
+    true = got = of = share = 0
     for dim in [r["dim"] for r in classes.select("dim").distinct().collect()]:
         # The smallest hashes, first among what has links and then among all.
         sample = classes.where(F.col("dim") == dim).select("cls", "vec").orderBy(F.xxhash64("cls"), "cls").limit(queries).collect()
@@ -286,9 +288,10 @@ def audit_recall(classes: DataFrame, found: DataFrame, least: float = 0.95, quer
         rows = {r["cls"]: bytes(r["vec"]) for r in [*near, *sample]}
         ids = np.array(list(rows), np.int64)
         links = classes.select("cls", "dim", "n", "vec").mapInArrow(_audit(_units(list(rows.values()), dim), ids, dim, least), "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links"))
-        both = links.join(found.groupBy("cls").agg(F.sum("found").alias("found")), "cls", "left").agg(F.sum("links"), F.sum(F.least("links", F.coalesce("found", F.lit(0))))).first()
-        true, got = true + (both[0] or 0), got + (both[1] or 0)
-    return int(true), int(got)
+        both = links.join(found.groupBy("cls").agg(F.sum("found").alias("found")), "cls", "left").withColumn("got", F.least("links", F.coalesce("found", F.lit(0)))).where("links > 0")
+        both = both.agg(F.sum("links"), F.sum("got"), F.count("*"), F.sum(F.col("got") / F.col("links"))).first()
+        true, got, of, share = (x + (y or 0) for x, y in zip((true, got, of, share), both, strict=True))
+    return min(int(got) / int(true), float(share) / of) if of else 1.0
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -299,7 +302,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     vec_ids: such a row counts as a link of others; its component_id is the smallest id there, or null, and it is not kept. Rows that repeat an id are
     vectors like others. Extra columns, labels too, are ignored. An empty table gives an empty one.
 
-    The driver sees at most SAMPLE vectors of each length, from which the centroids are fitted, and the audit's sample.
+    Ties of centroids go to the first. The driver sees at most SAMPLE vectors of each length, from which the centroids are fitted, the
+    audit's sample, and a row for each shard.
     """
     rows = lean(vectors).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     rows = stash(rows.mapInArrow(_prepare, "vec_id long, cls long, dim int, vec binary"), "vectors")
@@ -312,9 +316,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
         models[r["dim"]] = centroids(_units([bytes(s["vec"]) for s in sample], r["dim"]), k)
     for overlap in OVERLAPS:
         found = _links(classes, models, least, overlap)
-        true, got = audit_recall(classes, found, least)
-        if got >= RECALL * true:
+        if audit_recall(classes, found, least) >= RECALL:
             break
+    else:
+        found = _exact(classes, models, least)
     linked = found.where("cls <> u").select("cls", "u")
     labels = components(linked).withColumnRenamed("node", "cls")
     named = classes.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -340,3 +345,118 @@ def _links(classes: DataFrame, models: dict[int, np.ndarray], least: float, over
     units = units.withColumn("block", F.least("own", "other")).withColumn("block2", F.greatest("own", "other")).join(graph, "cls")
     units = units.repartition("shard", "block", "block2").sortWithinPartitions("shard", "block", "block2")
     return stash(units.select("shard", "block", "block2", "cls", "n", "rank", "near", "vec", "dim", "own", "adjacent").mapInArrow(_search(least), "cls long, found long, u long"), "vector-links")
+
+
+def _angles(raw: list[bytes], dim: int, model: np.ndarray) -> np.ndarray:
+    """The angles between vectors and centroids, in double precision."""
+    c = model.astype(np.float64)
+    c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-300)
+    return np.arccos(np.clip(_units(raw, dim) @ c.T, -1, 1))
+
+
+def _radii(models: dict[int, np.ndarray]):
+    """(shard, n, radius): of each batch, how many classes are nearest to a centroid and the largest angle of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column(1).to_numpy()
+            for number, dim in enumerate(sorted(models)):
+                own = b.take(pa.array(np.flatnonzero(dims == dim)))
+                if own.num_rows:
+                    angle = _angles(own.column(3).to_pylist(), dim, models[dim])
+                    shard, at = np.unique(angle.argmin(1), return_inverse=True)
+                    radius = np.zeros(len(shard))
+                    np.maximum.at(radius, at, angle.min(1))
+                    yield pa.RecordBatch.from_arrays([pa.array(shard + number * CENTROIDS), pa.array(np.bincount(at)), pa.array(radius)], names=["shard", "n", "radius"])
+
+    return run
+
+
+def _reaching(models: dict[int, np.ndarray], blocks: dict[int, tuple[int, float]], least: float):
+    """(shard, block, side, cls, n, vec, dim): each class in a block of its own shard (side 0), and as a query (side 1) in all blocks of every shard that can have one within range."""
+    angle_of = float(np.arccos(least)) + 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column(1).to_numpy()
+            for number, dim in enumerate(sorted(models)):
+                rows = np.flatnonzero(dims == dim)
+                k = len(models[dim])
+                count, radius = (np.array([blocks.get(number * CENTROIDS + i, (0, -9.0))[j] for i in range(k)]) for j in (0, 1))
+                for lo in range(0, len(rows), 256):
+                    own = b.take(pa.array(rows[lo : lo + 256]))
+                    cls, raw = own.column(0).to_numpy(), own.column(3).to_pylist()
+                    angle = _angles(raw, dim, models[dim])
+                    home = angle.argmin(1)
+                    q, shard = np.nonzero(angle <= radius[None] + angle_of)
+                    each = count[shard]
+                    block = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                    q, shard = np.repeat(q, each), np.repeat(shard, each)
+                    at = np.concatenate((np.arange(len(cls)), q))
+                    side = np.repeat([0, 1], [len(cls), len(q)])
+                    shard, block = np.concatenate((home, shard)) + number * CENTROIDS, np.concatenate(((cls % np.maximum(count[home], 1)), block))
+                    for k0 in range(0, len(at), 4096):
+                        c = slice(k0, k0 + 4096)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(shard[c]), pa.array(block[c]), pa.array(side[c]), pa.array(cls[at[c]]), pa.array(own.column(2).to_numpy()[at[c]]), pa.array([raw[i] for i in at[c]], pa.binary()), pa.array(np.full(len(at[c]), dim, np.int64))],
+                            names=["shard", "block", "side", "cls", "n", "vec", "dim"],
+                        )
+
+    return run
+
+
+def _compare_all(least: float):
+    """(cls, found, u): every query against all members of a block; queries come in the order of the stream, members first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held_rows = None, []
+        members = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            shard, block, side = (b.column(i).to_numpy() for i in range(3))
+            cut = np.flatnonzero(np.append(True, (np.diff(shard) != 0) | (np.diff(block) != 0) | (np.diff(side) != 0)))
+            for lo, hi in zip(cut, [*cut[1:], b.num_rows], strict=True):
+                own = b.slice(int(lo), int(hi - lo))
+                if key != (shard[lo], block[lo]):
+                    key, held_rows, members = (shard[lo], block[lo]), [], None
+                if side[lo] == 0:
+                    held_rows.append(own)
+                    members = None
+                    continue
+                if not held_rows:
+                    continue
+                dim = own.column(6)[0].as_py()
+                if members is None:
+                    t = pa.Table.from_batches(held_rows)
+                    members = t.column("cls").to_numpy(), t.column("n").to_numpy(), _units(t.column("vec").to_pylist(), dim)
+                ids, n, x = members
+                for k in range(0, own.num_rows, 1024):
+                    part = own.slice(k, 1024)
+                    cls = part.column(3).to_numpy()
+                    hit = (_units(part.column(5).to_pylist(), dim) @ x.T >= least) & (cls[:, None] != ids[None])
+                    found = hit @ n
+                    q, y = np.nonzero(hit)
+                    # Each query with its smallest neighbour, and each member with its smallest query: the links' components.
+                    some = np.flatnonzero(found)
+                    to = np.full(len(cls), np.iinfo(np.int64).max)
+                    np.minimum.at(to, q, ids[y])
+                    back = np.full(len(ids), np.iinfo(np.int64).max)
+                    np.minimum.at(back, y, cls[q])
+                    linked = np.flatnonzero(back < np.iinfo(np.int64).max)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((cls[some], ids[linked]))), pa.array(np.concatenate((found[some], np.zeros(len(linked), np.int64)))), pa.array(np.concatenate((to[some], back[linked])))], names=["cls", "found", "u"])
+
+    return run
+
+
+def _exact(classes: DataFrame, models: dict[int, np.ndarray], least: float) -> DataFrame:
+    """As _links, but with every link: each class is a query in all shards that its angle to the centroid and the shard's radius let in.
+
+    A shard is split into blocks of UNIT classes; a task holds a block, and queries stream past it.
+    """
+    slim = classes.select("cls", "dim", "n", "vec")
+    radii = slim.mapInArrow(_radii(models), "shard long, n long, radius double").groupBy("shard").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect()
+    blocks = {r["shard"]: (-(-r["n"] // UNIT), r["radius"] + 1e-6) for r in radii}
+    dealt = slim.mapInArrow(_reaching(models, blocks, least), "shard long, block long, side long, cls long, n long, vec binary, dim long")
+    dealt = dealt.repartition("shard", "block").sortWithinPartitions("shard", "block", "side")
+    return stash(dealt.mapInArrow(_compare_all(least), "cls long, found long, u long"), "vector-links")
