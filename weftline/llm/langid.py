@@ -16,7 +16,7 @@ from .store import held, lean
 LANGS, PER_LANG, PIECES, PIECE = 200, 400, 3, 64
 HIDDEN, STEPS, BATCH, RATE = 12, 300, 96, 1.5e-2
 #: A text is read in spans of so many bytes; each direction has read so many bytes before a span when it comes to it.
-SPAN, LEAD = 160, 32
+SPAN, LEAD = 224, 32
 #: Spans that go through the network together.
 TOGETHER = 512
 UNKNOWN = "und"
@@ -70,9 +70,10 @@ class Gru:
 
     def log_probabilities(self, both: np.ndarray) -> np.ndarray:
         """Of each language, from the states of both directions at a byte, side by side."""
-        y = both @ self.p["w"] + self.p["b"]
-        y = y - y.max(-1, keepdims=True)
-        return y - np.log(np.exp(y).sum(-1, keepdims=True))
+        y = np.ascontiguousarray((both.reshape(-1, both.shape[-1]) @ self.p["w"] + self.p["b"]).T)  # languages first: their few sums go over long rows
+        y -= y.max(0)
+        y -= np.log(np.exp(y).sum(0))
+        return y.T.reshape(*both.shape[:-1], -1)
 
     def gradient(self, s: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
         """The mean loss over the bytes of equally long rows, and its gradient by backpropagation through time."""
