@@ -24,7 +24,7 @@ END_ID = 1
 #: Pieces that are packed together, about.
 GROUP = 8192
 #: Words, and parts of words, whose ids a worker keeps; when there are more, it starts anew.
-WORDS, PARTS = 1_000_000, 100_000
+WORDS, PARTS = 1_000_000, 600_000
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 9, 10]] = True
@@ -65,18 +65,18 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         parts, split, whole = self.parts, [], []
+        match, normal = _LETTERS_FIRST.fullmatch, unicodedata.is_normalized
         for w in words:
-            m = _LETTERS_FIRST.fullmatch(w)
-            if m and (w.isascii() or "\u03a3" not in w and "\u0130" not in w and unicodedata.is_normalized("NFC", w)):
+            if (m := match(w)) and (w.isascii() or "\u03a3" not in w and "\u0130" not in w and normal("NFC", w)):
                 split.append((m[1].lower(), m[2]))
             else:
                 split.append((w, ""))
                 whole.append(w)
         if len(parts) > PARTS:
             parts.clear()
-        fresh = list({x for own in split for x in own}.difference(parts))
+        fresh = list({x for own in split for x in own if x not in parts})
         parts.update(zip(fresh, self._encode(fresh), strict=True))
-        new = [parts[a] + parts[b] for a, b in split]
+        new = [parts[a] + parts[b] if b else parts[a] for a, b in split]
         for w in whole:  # may be long
             parts.pop(w, None)
         length = np.array([len(x) // 4 for x in new], np.int64)
@@ -94,18 +94,20 @@ class Encoder:
         new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != unique) if len(self.keys) else np.arange(len(unique))
         raw = w.bytes.tobytes()
         if len(new):
-            own = first[new]
-            known = len(self.start)
+            own, rows = first[new], len(self.start)
             fresh = [raw[a:b] for a, b in zip(w.start[own].tolist(), w.end[own].tolist(), strict=True)]
             self._learn([x.decode() for x in fresh])
             self.words += fresh
             self.keys = np.insert(self.keys, at[new], unique[new])
-            self.rows = np.insert(self.rows, at[new], np.arange(known, known + len(new)))
+            self.rows = np.insert(self.rows, at[new], np.arange(rows, rows + len(new)))
             at = np.searchsorted(self.keys, unique)
-        length = w.end - w.start
-        same = (length == length[first][inverse]) & w.same_bytes(w.start, np.minimum(w.start[first][inverse], len(raw) - length), length)
-        kept = [self.words[r] == raw[a:b] for r, a, b in zip(self.rows[at].tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True)]
-        wrong = np.unique(w.doc[~(same & np.array(kept, bool)[inverse])])
+        same = w.same_words(first, inverse)
+        known = np.ones(len(unique), bool)
+        known[new] = False
+        old = np.flatnonzero(known)
+        known[old] = [self.words[r] == raw[a:b] for r, a, b in zip(self.rows[at[old]].tolist(), w.start[first[old]].tolist(), w.end[first[old]].tolist(), strict=True)]
+        known[new] = True
+        wrong = np.unique(w.doc[~(same & known[inverse])])
         rows = self.rows[at][inverse]
         length = self.length[rows]
         ends = np.concatenate(([0], np.cumsum(length)))

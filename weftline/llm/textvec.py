@@ -143,6 +143,25 @@ class Words:
             lo = hi
         return out
 
+    def same_words(self, first: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        """Whether each word has the bytes of the first one of its hash; by eight bytes at a time, which overlap at a word's end."""
+        length = self.end - self.start
+        ok = length == length[first][inverse]
+        eight = np.zeros(len(self.bytes) + 8, np.uint8)
+        eight[: len(self.bytes)] = self.bytes
+        eight = np.lib.stride_tricks.as_strided(eight.view(np.uint8), (len(self.bytes) + 1, 8), (1, 1))
+        mask = np.concatenate((np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64), [np.uint64(0xFFFFFFFFFFFFFFFF)]))
+        word = np.flatnonzero(ok)
+        a, b = self.start[word], self.start[first[inverse[word]]]
+        left = length[word]
+        while len(word):
+            x, y = (np.ascontiguousarray(eight[i]).view(np.uint64).ravel() for i in (a, b))
+            differs = ((x ^ y) & mask[np.minimum(left, 8)]) != 0
+            ok[word[differs]] = False
+            go = (left > 8) & ~differs
+            word, a, b, left = word[go], a[go] + 8, b[go] + 8, left[go] - 8
+        return ok
+
     def count(self, marked: np.ndarray) -> np.ndarray:
         """For each text, how many of its bytes are marked."""
         total = np.zeros(len(marked) + 1, np.int64)
