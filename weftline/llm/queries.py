@@ -92,5 +92,60 @@ FROM d JOIN s USING (skey) LEFT JOIN u a ON a.skey = d.skey AND a.b = (stop - si
 """
 
 
+#: Longest processing time first, a group a step: the group goes to the least loaded of eight shards, the lower one on a tie. Of the groups
+#: of one size, the lower shards take those with the lower MD5. CRC-32 is reduced over the bytes with its table of 256 entries.
+_OP1 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+bytes AS (SELECT doc_id, text, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+rows AS (
+  SELECT doc_id, coalesce(md5(text), '') AS g, coalesce(strlen(text), 0)::BIGINT + 1 AS size,
+    CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) END::BIGINT AS text_crc32 FROM bytes, crc),
+groups AS (SELECT g, sum(size)::BIGINT AS bytes FROM rows GROUP BY 1),
+queue AS (SELECT bytes, row_number() OVER (ORDER BY bytes DESC, g) AS i FROM groups),
+steps AS (
+  SELECT 0::BIGINT AS i, 0::BIGINT AS bytes, NULL::BIGINT AS shard, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS loads
+  UNION ALL
+  SELECT q.i, q.bytes, list_position(s.loads, list_min(s.loads)) - 1, list_transform(s.loads, lambda x, k: CASE WHEN k = list_position(s.loads, list_min(s.loads)) THEN x + q.bytes ELSE x END)
+  FROM steps s JOIN queue q ON q.i = s.i + 1),
+seats AS (SELECT bytes, shard, row_number() OVER (PARTITION BY bytes ORDER BY shard) AS rank FROM steps WHERE i > 0),
+ranked AS (SELECT g, bytes, row_number() OVER (PARTITION BY bytes ORDER BY g) AS rank FROM groups)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), g)), 1, 8))::BIGINT % 1024, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, NULL::INT AS grown_shard
+FROM rows JOIN ranked USING (g) JOIN seats USING (bytes, rank)
+"""
+
+#: Every two vectors of one length, and labels handed on along the links until no row is new.
+_OP4 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, x FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)
+  WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+reach AS (SELECT vec_id AS u, vec_id AS label FROM embeddings UNION SELECT l.v, r.label FROM reach r JOIN links l ON l.u = r.u WHERE r.label < l.v),
+least AS (SELECT u, min(label) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT u, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.u = vec_id LEFT JOIN n ON n.u = vec_id
+"""
+
+#: The sets in full, pairs of distinct ones by the shingles that they share, and labels handed on along the links.
+_OP8 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM words),
+class AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM sets GROUP BY s),
+shingles AS (SELECT c, n, unnest(s) AS x FROM class),
+links AS (
+  SELECT a.c AS u, b.c AS v FROM shingles a JOIN shingles b ON a.x = b.x AND a.c <> b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT c AS u, c AS label FROM class UNION SELECT l.v, r.label FROM reach r JOIN links l ON l.u = r.u WHERE r.label < l.v),
+least AS (SELECT u, min(label) AS component_id FROM reach GROUP BY 1),
+out AS (SELECT doc_id, n::BIGINT AS n_shingles, (CASE WHEN n > 0 THEN component_id ELSE doc_id END)::BIGINT AS component_id FROM sets JOIN class USING (s) JOIN least ON least.u = c)
+SELECT *, doc_id = component_id AS kept FROM out
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": _OP9}
+    return {"op1_lpt_shards": _OP1, "op4_pruned_graph": _OP4, "op8_chosen_path": _OP8, "op9_source_mix": _OP9}

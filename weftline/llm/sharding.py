@@ -54,7 +54,7 @@ def lpt_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
 
     Size is the text's UTF-8 bytes plus 1; null texts have size 1, a null text_crc32 and are one group of their own, as
     are empty texts. Null or repeated doc_ids are rows like others; slots number a shard's rows from 0 without gaps,
-    by doc_id within cells of its hash. Extra columns are ignored. An empty table gives an empty one.
+    by doc_id within cells of its MD5. Extra columns are ignored. An empty table gives an empty one.
 
     The driver sees one row for each size that a group has. As different sizes add up, d of them take d^2 / 2 bytes at least, so there are at
     most 14 million for 100 TB. A group larger than an equal share of all bytes makes its shard larger, as groups must stay together.
@@ -82,7 +82,7 @@ def lpt_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     placed = placed.withColumn("rank", rank).join(starts, ["bytes", "cell"], "left").withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
     placed = placed.select("g", F.expr("cast(size(filter(ends, e -> e < rank)) as int)").alias("shard"))
     # A hot group is one row here and may be a third of the rows there: adaptive execution splits that side of the join.
-    dealt = rows.join(placed, "g").withColumn("cell", F.pmod(F.xxhash64("doc_id", "g"), F.lit(SLOT_CELLS)).cast("int"))
+    dealt = rows.join(placed, "g").withColumn("cell", (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "g")), 1, 8), 16, 10).cast("long") % SLOT_CELLS).cast("int"))
     dealt = stash(dealt.drop("g"), "shard-dealt")
     # At most shards x SLOT_CELLS rows.
     starts = dealt.groupBy("shard", "cell").count()
