@@ -11,7 +11,7 @@ from .store import stash
 WEIGHTS = (5, 2, 1)
 #: A target stops at so many times its source's size.
 MOST = 3
-#: The mix is made of about so many blocks; a block has the total's words over this, 1 at least.
+#: The texts are cut into about so many blocks; a block has the total's words over this, 1 at least.
 BLOCKS = 65536
 #: Shards that get quotas of their own.
 SHARDS = 16
@@ -125,9 +125,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(doc_id, size, source_size, target, taken, then the columns named in carry): how many words of each document the mix takes, repeats counted.
 
     Each source's words, its documents in seeded order end to end, are cut into blocks of equal words (the last may be
-    shorter). Sources get whole numbers of blocks by the highest quotients, then each source's blocks are apportioned to
-    the shards by the blocks that they hold of it; within shard and source, blocks are taken in seeded order, round
-    after round, MOST times at most. A document's ``taken`` is the sum over the blocks that it lies in, so it is at most
+    shorter). Sources get whole words by the highest quotients, then each source's words are apportioned to the shards by
+    the words that they hold of it; within shard and source, blocks are taken in seeded order, round after round, MOST
+    times at most, the last one as far as the quota goes. So a source's words are within a word or so of its target, however
+    small it is beside a block. A document's ``taken`` is the sum over the blocks that it lies in, so it is at most
     MOST times its size, and reruns agree.
 
     Null text has size 0 and is taken 0 words; null sources are one source, last in order; an empty source name is a
@@ -140,22 +141,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows, cells, sources = _laid(docs, id_col, text_col, source_col, carry, size_col)
     sources = stash(sources.withColumn("block", F.greatest(F.ceil(F.col("total") / BLOCKS), F.lit(1)).cast("long")), "mix-sources")
 
-    # Whole numbers of blocks for the sources.
+    # Whole words for the sources, by the highest quotients.
     held = F.ceil(F.col("source_size") / F.col("block")).cast("long")
-    s = sources.select("skey", "source_size", "target", "block", held.alias("held"), (held * MOST).alias("most"), F.round(F.col("total") / F.col("block")).cast("long").alias("seats"), F.lit(0).alias("one"))
+    s = sources.select("skey", "source_size", "target", "block", held.alias("held"), (F.col("source_size") * MOST).alias("most"), F.col("total").cast("long").alias("seats"), F.lit(0).alias("one"))
     s = apportion(s, "seats", "target", "most", ["one"]).drop("seats", "most", "one").withColumnRenamed("quota", "source_quota")
 
     # Each source's blocks, at most BLOCKS and one for each source; every shard's part of the quota; the seeded order.
     b = s.where("held > 0").select("skey", "source_size", "block", "source_quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("held") - 1)).alias("b"))
     b = b.withColumn("order", _draw(F.col("skey"), F.col("b"))).withColumn("shard", F.pmod("b", F.lit(SHARDS)))
-    q = b.groupBy("skey", "shard", "source_quota").agg(F.count("*").alias("n")).withColumn("weight", F.col("n").cast("double")).withColumn("most", F.col("n") * MOST)
-    q = apportion(q, "source_quota", "weight", "most", ["skey"]).select("skey", "shard", "n", "quota")
-    rank = F.row_number().over(Window.partitionBy("skey", "shard").orderBy("order", "b"))
-    taken = F.floor(F.col("quota") / F.col("n")) + (F.col("rank") <= F.pmod(F.col("quota"), F.col("n"))).cast("long")
-    b = b.join(q, ["skey", "shard"]).withColumn("rank", rank).withColumn("times", taken.cast("long"))
-    length = F.least(F.col("block"), F.col("source_size") - F.col("b") * F.col("block"))
-    before = F.sum(F.col("times") * length).over(Window.partitionBy("skey").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    b = stash(b.select("skey", "b", "times", F.coalesce(before, F.lit(0)).alias("before")), "mix-blocks")
+    b = b.withColumn("length", F.least(F.col("block"), F.col("source_size") - F.col("b") * F.col("block")))
+    q = b.groupBy("skey", "shard", "source_quota").agg(F.sum("length").alias("words")).withColumn("weight", F.col("words").cast("double")).withColumn("most", F.col("words") * MOST)
+    q = apportion(q, "source_quota", "weight", "most", ["skey"]).select("skey", "shard", "words", "quota")
+    # All blocks so many times, and what remains of the quota from the first ones, of the last of these a part.
+    earlier = Window.partitionBy("skey", "shard").orderBy("order", "b").rowsBetween(Window.unboundedPreceding, -1)
+    b = b.join(q, ["skey", "shard"]).withColumn("times", F.floor(F.col("quota") / F.col("words")).cast("long"))
+    left = F.pmod("quota", "words") - F.coalesce(F.sum("length").over(earlier), F.lit(0))
+    b = b.withColumn("part", F.greatest(F.least("length", left), F.lit(0)).cast("long"))
+    before = F.sum(F.col("times") * F.col("length") + F.col("part")).over(Window.partitionBy("skey").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    b = stash(b.select("skey", "b", "times", "part", F.coalesce(before, F.lit(0)).alias("before")), "mix-blocks")
 
     # A document lies from start to end in its source's words; what is taken of it is the difference of two sums.
     d = _ends(rows, cells)
@@ -163,10 +166,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     d = d.withColumn("first", F.floor((F.col("end") - F.col("size")) / F.col("block"))).withColumn("last", F.floor((F.col("end") - 1) / F.col("block")))
 
     def at(side: str) -> DataFrame:
-        return _given(b.select("skey", F.col("b").alias(side), F.col("times").alias(f"{side}_times"), F.col("before").alias(f"{side}_before")), sources)
+        return _given(b.select("skey", F.col("b").alias(side), F.col("times").alias(f"{side}_times"), F.col("part").alias(f"{side}_part"), F.col("before").alias(f"{side}_before")), sources)
+
+    def upto(side: str, offset: Column) -> Column:
+        return F.col(f"{side}_before") + F.col(f"{side}_times") * offset + F.least(F.col(f"{side}_part"), offset)
 
     d = d.join(at("first"), ["skey", "first"], "left").join(at("last"), ["skey", "last"], "left")
-    upto_end = F.col("last_before") + F.col("last_times") * (F.col("end") - F.col("last") * F.col("block"))
-    upto_start = F.col("first_before") + F.col("first_times") * (F.col("end") - F.col("size") - F.col("first") * F.col("block"))
+    upto_end = upto("last", F.col("end") - F.col("last") * F.col("block"))
+    upto_start = upto("first", F.col("end") - F.col("size") - F.col("first") * F.col("block"))
     words = F.when(F.col("size") > 0, upto_end - upto_start).otherwise(F.lit(0)).cast("long")
     return d.select("doc_id", "size", "source_size", "target", words.alias("taken"), *carry)

@@ -65,7 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-#: The mix in plain SQL: every seat of every source, and of every shard, is listed and ranked by its quotient.
+#: The mix in plain SQL: every word that a source, and a shard, can have is listed as a seat and ranked by its quotient.
 _OP9 = r"""
 WITH rows AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS skey, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -76,18 +76,20 @@ s2 AS (SELECT *, (total - coalesce(sum(cap) OVER w, 0.0)) / (sum(weight) OVER ()
   WINDOW w AS (ORDER BY cap / weight, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s3 AS (SELECT *, max(CASE WHEN cap / weight > level THEN level END) OVER () AS level_all FROM s2),
 s4 AS (SELECT skey, source_size, CASE WHEN level_all IS NULL THEN cap ELSE least(cap, level_all * weight) END AS target, total, greatest(ceil(total / 65536), 1)::BIGINT AS block FROM s3),
-s AS (SELECT *, ceil(source_size::DOUBLE / block)::BIGINT AS held, round(total / block)::BIGINT AS seats FROM s4),
-won AS (SELECT skey, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, skey, k) AS rank, seats FROM (SELECT *, unnest(range(3 * held)) AS k FROM s WHERE target > 0)),
-quota AS (SELECT skey, count(*) AS source_quota FROM won WHERE rank <= seats GROUP BY 1),
-b AS (SELECT skey, source_size, block, coalesce(source_quota, 0) AS source_quota, b, b % 16 AS shard, ('0x' || substr(md5('mix-1:' || skey || ':' || b::VARCHAR), 1, 8))::BIGINT AS ord
+s AS (SELECT *, ceil(source_size::DOUBLE / block)::BIGINT AS held FROM s4),
+won AS (SELECT skey, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, skey, k) AS rank, total FROM (SELECT *, unnest(range(3 * source_size)) AS k FROM s WHERE target > 0)),
+quota AS (SELECT skey, count(*) AS source_quota FROM won WHERE rank <= total GROUP BY 1),
+b AS (SELECT skey, source_size, block, coalesce(source_quota, 0) AS source_quota, b, b % 16 AS shard, least(block, source_size - b * block) AS length, ('0x' || substr(md5('mix-1:' || skey || ':' || b::VARCHAR), 1, 8))::BIGINT AS ord
   FROM (SELECT *, unnest(range(held)) AS b FROM s) LEFT JOIN quota USING (skey)),
-q AS (SELECT skey, shard, source_quota, count(*) AS n FROM b GROUP BY ALL),
+q AS (SELECT skey, shard, source_quota, sum(length)::BIGINT AS n FROM b GROUP BY ALL),
 won2 AS (SELECT skey, shard, source_quota, row_number() OVER (PARTITION BY skey ORDER BY n::DOUBLE / (2 * k + 1) DESC, shard, k) AS rank FROM (SELECT *, unnest(range(3 * n)) AS k FROM q)),
 q2 AS (SELECT skey, shard, count(*) AS quota FROM won2 WHERE rank <= source_quota GROUP BY 1, 2),
-t AS (SELECT b.*, coalesce(quota, 0) // n + (row_number() OVER (PARTITION BY skey, shard ORDER BY ord, b) <= coalesce(quota, 0) % n)::BIGINT AS times FROM b JOIN q USING (skey, shard) LEFT JOIN q2 USING (skey, shard)),
-u AS (SELECT skey, b, times, coalesce(sum(times * least(block, source_size - b * block)) OVER (PARTITION BY skey ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+t AS (SELECT b.*, coalesce(quota, 0) // n AS times, greatest(least(length, coalesce(quota, 0) % n - coalesce(sum(length) OVER (PARTITION BY skey, shard ORDER BY ord, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS part
+  FROM b JOIN q USING (skey, shard) LEFT JOIN q2 USING (skey, shard)),
+u AS (SELECT skey, b, times, part, coalesce(sum(times * length + part) OVER (PARTITION BY skey ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
 d AS (SELECT doc_id, skey, size, sum(size) OVER (PARTITION BY skey ORDER BY draw % 256, draw, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM rows)
-SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN z.before + z.times * (stop - z.b * block) - a.before - a.times * (stop - size - a.b * block) ELSE 0 END::BIGINT AS taken
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN z.before + z.times * (stop - z.b * block) + least(z.part, stop - z.b * block)
+  - a.before - a.times * (stop - size - a.b * block) - least(a.part, stop - size - a.b * block) ELSE 0 END::BIGINT AS taken
 FROM d JOIN s USING (skey) LEFT JOIN u a ON a.skey = d.skey AND a.b = (stop - size) // block LEFT JOIN u z ON z.skey = d.skey AND z.b = (stop - 1) // block
 """
 
