@@ -590,6 +590,33 @@ def test_split_shards_and_recall(spark, monkeypatch):
     assert all(got[i] <= n[i] for i in range(len(x))) and sum(got.values()) >= 0.97 * n.sum()
 
 
+def test_second_level_of_centroids(spark, monkeypatch):
+    """A shard too large for a unit is cut by centroids of its own: each member lies in parts of all its shards, listed alike in each row."""
+    for name, value in (("UNIT", 64), ("SHARD", 400), ("DEALT", 50)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(200, 12))
+    x = np.concatenate([base + rng.normal(size=base.shape) * 0.03 for _ in range(4)])
+    df = spark.createDataFrame([(i, 12, 1, v.tobytes()) for i, v in enumerate(x)], "cls long, dim long, n long, vec binary")
+    models = {12: vectors.centroids(vectors._units([v.tobytes() for v in x], 12), 3)}
+    sharded = df.mapInArrow(vectors._assign(models, 2), vectors._SHARDED)
+    of = {}
+    for r in sharded.collect():
+        of.setdefault(r["cls"], set()).add(r["shard"])
+    deep, size = {}, {}
+    for r in vectors._deeper(df, sharded, 2).collect():
+        near = np.frombuffer(r["near"], np.int64)
+        assert near[r["rank"]] == r["shard"] and (r["n"], r["dim"], bytes(r["vec"])) == (1, 12, x[r["cls"]].tobytes())
+        deep.setdefault(r["cls"], []).append((r["rank"], r["shard"], near.tolist()))
+        size[r["shard"]] = size.get(r["shard"], 0) + 1
+    assert set(deep) == set(range(len(x))) and max(size.values()) < 200
+    for cls, units in deep.items():
+        units.sort()
+        listed = [u for u in units[0][2] if u >= 0]
+        assert [u for _, u, _ in units] == listed and len(set(listed)) == len(listed)
+        assert {u // vectors.PARTS for u in listed} == of[cls]
+
+
 def test_exact_way_when_the_search_misses(spark, monkeypatch):
     """A graph without edges finds nothing, at any overlap; the exact way then finds all."""
     rng = np.random.default_rng(6)

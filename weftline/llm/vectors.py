@@ -1,7 +1,7 @@
 """Operator 4: near-duplicate embeddings by a robust-pruned flat graph.
 
 Equal vectors are one class. Classes are dealt to overlapping cluster shards; each shard builds a graph of its members, pruned
-robustly (Subramanya et al., 2019), and a class's adjacency list is the union of its lists in all its shards. Every class is then
+robustly (Subramanya et al., 2019); a large shard is cut by a second level of centroids (``_deeper``). A class's adjacency list is the union of its lists in all its shards. Every class is then
 searched in the shards of its nearest centroids: a greedy beam from the shard's medoid finds the
 region, and the search expands over all neighbours within range until no new one comes. Cosines of what is found are
 verified in double precision. Recall is audited against brute force, over all links and for the mean query; if it is low, the shards
@@ -25,8 +25,11 @@ from .store import lean, stash
 
 #: Classes of a shard before overlap, about; rows that centroids are fitted on at most; centroids at most.
 SHARD, SAMPLE, CENTROIDS = 512, 16_384, 2048
-#: Rows of one unit of work; a larger shard is split into blocks of half of it, and every two blocks are a unit.
-UNIT = 4096
+#: Rows of one unit of work. A larger shard gets centroids of its own, fitted on about FIT of its rows for each, and a member is in CLOSE of the
+#: parts; a part that is larger still, being dense, is split into blocks of half a unit, and every two blocks are a unit.
+UNIT, FIT, CLOSE = 4096, 8, 2
+#: Parts of a shard at most, and rows of a large shard that one task deals to them.
+PARTS, DEALT = 1 << 20, 65_536
 #: Neighbours that pruning chooses from and keeps, its slack, the beam, and the hops of the greedy search.
 CANDIDATES, DEGREE, ALPHA, BEAM, HOPS = 32, 24, 1.2, 8, 24
 #: Shards in which a class is searched for.
@@ -195,7 +198,7 @@ def range_search(x: np.ndarray, start: np.ndarray, flat: np.ndarray, queries: np
     reached = np.zeros((m, m), bool)
     q, y = np.concatenate(seen_q), np.concatenate(seen_y)
     key = np.unique(q * m + y)
-    found_q, found_y = [], []
+    found_q, found_y = [queries[:0]], [queries[:0]]
     while len(key):
         q, y = key // m, key % m
         reached[q, y] = True
@@ -332,8 +335,93 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, vec): the second level's centroids of each large shard, end to end, from a sample of its members."""
+    for t, bounds in whole_groups(batches, ["shard"]):
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            rows = t.slice(int(lo), int(hi - lo))
+            x = _units(rows.column("vec").to_pylist(), int(rows.column("dim")[0].as_py()))
+            c = centroids(x, max(1, min(int(rows.column("parts")[0].as_py()), len(x) // 4)))
+            yield pa.RecordBatch.from_arrays([rows.column("shard").combine_chunks().slice(0, 1), pa.array([c.tobytes()], pa.binary())], names=["shard", "vec"])
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, rank, close, unit): members of large shards in the parts of their nearest centroids; the centroids (side 0) come before the members."""
+    model, of = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        shard, side, dims = (b.column(i).to_numpy() for i in (0, 2, 5))
+        cut = np.flatnonzero(np.append(True, (np.diff(shard) != 0) | (np.diff(side) != 0)))
+        for lo, hi in zip(cut, [*cut[1:], b.num_rows], strict=True):
+            if side[lo] == 0:
+                model, of = b.column(6)[int(lo)].as_py(), shard[lo]
+                continue
+            if of != shard[lo]:  # no member was in the sample: one part
+                model, of = None, shard[lo]
+            dim = int(dims[lo])
+            c = None if model is None else np.frombuffer(model, np.float32).reshape(-1, dim)
+            for k in range(int(lo), int(hi), 1024):
+                own = b.slice(k, min(1024, int(hi) - k))
+                near = np.zeros((own.num_rows, 1), np.int64)
+                if c is not None:
+                    near = np.argsort(-(_units(own.column(6).to_pylist(), dim).astype(np.float32) @ c.T), axis=1, kind="stable")[:, :CLOSE].astype(np.int64)
+                w = near.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(own.column(3).to_numpy(), w)), pa.array(np.repeat(own.column(4).to_numpy(), w)), pa.array(np.tile(np.arange(w), len(near))), pa.array(near.ravel() + shard[lo] * PARTS)],
+                    names=["cls", "rank", "close", "unit"],
+                )
+
+
+def _listed(width: int):
+    """(shard, cls, rank, near): a class in each of its units, with the list of them, filled up with -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [np.array(x, np.int64) for x in b.column(1).to_pylist()]
+            if not lists:
+                continue
+            sizes = np.array([len(x) for x in lists])
+            near = [np.append(x, np.full(width - len(x), -1)).tobytes() for x in lists]
+            rank = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(lists)), pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(rank), pa.array([x for x, n in zip(near, sizes, strict=True) for _ in range(n)], pa.binary())],
+                names=["shard", "cls", "rank", "near"],
+            )
+
+    return run
+
+
+def _deeper(classes: DataFrame, sharded: DataFrame, overlap: int) -> DataFrame:
+    """``sharded`` with each shard of over UNIT members cut by a second level of centroids, a member being in CLOSE of its parts.
+
+    The driver sees no centroid of the second level: members of a large shard stream past its centroids, DEALT or so a task.
+    """
+    sizes = sharded.groupBy("shard").count().where(F.col("count") > UNIT)
+    parts = F.least(F.ceil(F.col("count") * 2 * CLOSE / UNIT), F.lit(PARTS)).cast("long")
+    large = stash(sizes.select("shard", "count", parts.alias("parts"), F.ceil(F.col("count") / DEALT).cast("long").alias("salts")), "large-shards")
+    if large.isEmpty():
+        return sharded
+    # There are no more shards than centroids of the first level, which the driver holds.
+    rows = sharded.join(F.broadcast(large), "shard", "left")
+    inside = rows.where("parts is not null")
+    drawn = F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < F.col("parts") * FIT / F.col("count") * (1 << 30)
+    fitted = inside.where(drawn).repartition("shard").sortWithinPartitions("shard", "cls").select("shard", "parts", "dim", "vec").mapInArrow(_fit, "shard long, vec binary")
+    none = F.lit(0).cast("long")
+    models = fitted.join(F.broadcast(large), "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), none.alias("side"), none.alias("cls"), none.alias("rank"), none.alias("dim"), "vec")
+    members = inside.select("shard", F.pmod(F.xxhash64("cls"), F.col("salts")).alias("salt"), (none + 1).alias("side"), "cls", "rank", "dim", "vec")
+    dealt = models.unionByName(members).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "side")
+    placed = dealt.mapInArrow(_place, "cls long, rank long, close long, unit long")
+    small = rows.where("parts is null").select("cls", "rank", none.alias("close"), (F.col("shard") * PARTS).alias("unit"))
+    order = F.array_sort(F.collect_list(F.struct((F.col("rank") + F.col("close")).alias("far"), "close", "rank", "unit")))
+    lists = placed.unionByName(small).groupBy("cls").agg(order.alias("near")).select("cls", F.col("near.unit").alias("near"))
+    units = lists.mapInArrow(_listed(overlap * CLOSE), "shard long, cls long, rank long, near binary")
+    return stash(units.join(classes.select("cls", "dim", "n", "vec"), "cls").select("shard", "cls", "n", "rank", "near", "vec", "dim"), "vector-parts")
+
+
 def _links(classes: DataFrame, models: dict[int, np.ndarray], least: float, overlap: int) -> DataFrame:
     sharded = stash(classes.select("cls", "dim", "n", "vec").mapInArrow(_assign(models, overlap), _SHARDED), "vector-shards")
+    sharded = _deeper(classes, sharded, overlap)
     counts = stash(sharded.groupBy("shard").count().select("shard", F.when(F.col("count") > UNIT, F.ceil(F.col("count") * 2 / UNIT)).otherwise(1).cast("long").alias("blocks")), "shard-counts")
     own = F.pmod(F.xxhash64("cls", "shard"), F.col("blocks"))
     dealt = sharded.join(counts, "shard").withColumn("own", own)
