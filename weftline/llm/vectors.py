@@ -1,12 +1,13 @@
 """Operator 4: near-duplicate embeddings by a robust-pruned flat graph.
 
-Equal vectors are one class. Classes are dealt to overlapping cluster shards; each shard builds a graph of its members, pruned
-robustly (Subramanya et al., 2019); a large shard is cut by a second level of centroids (``_deeper``). A class's adjacency list is the union of its lists in all its shards. Every class is then
-searched in the shards of its nearest centroids: a greedy beam from the shard's medoid finds the
-region, and the search expands over all neighbours within range until no new one comes. Cosines of what is found are
-verified in double precision. Recall is audited against brute force, over all links and for the mean query; if it is low, the shards
-overlap more and the search runs anew. If it is low still, every class is compared with all of every shard that can hold one within range
-by the triangle inequality of angles (``_exact``), which finds all links.
+Equal vectors are one class. Classes are dealt to overlapping cluster shards; a large shard is cut by a second level of
+centroids (``_deeper``). Each shard builds a graph of its members, pruned robustly (Subramanya et al., 2019), and a class's
+adjacency list is the union of its lists in all its shards. Every class is then searched in the shards of its nearest
+centroids: a greedy beam from the shard's medoid finds the region, and the search expands over all neighbours within range
+until no new one comes. Cosines of what is found are verified in double precision. Recall is audited against brute force,
+over all links and for the mean query; if it is low, the shards overlap more and the search runs anew. If it is low still,
+every class is compared with all of every shard that can hold one within range by the triangle inequality of angles
+(``_exact``), which finds all links.
 """
 
 from __future__ import annotations
